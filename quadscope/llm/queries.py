@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sentencepiece_bpe
-from ._common import table
+from . import decontaminate, quality, sentencepiece_bpe, toxicity, urls, winnow
+from ._common import fold, table
 
 
 def tokenizer(name: str) -> str:
@@ -14,15 +15,78 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _verdicts(scored: DataFrame, held_out) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return _verdicts(quality.score(docs, model), fold("doc_id", 5) == 0)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+    return _verdicts(toxicity.score(docs, lexicon), fold("doc_id", 4) == 2)
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare_next(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.learn(pages))
+
+
 def queries():
     return {
+        "op2_quality": op2_quality,
+        "op4_toxicity": op4_toxicity,
         "op5_sentencepiece": op5_sentencepiece,
+        "op6_fingerprints": op6_fingerprints,
+        "op8_decontamination": op8_decontamination,
+        "op9_url_filter": op9_url_filter,
     }
 
 
+#: Windows of eight words by SQL.
+OP8 = r"""
+WITH lowered AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), tests AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), grams AS (
+  SELECT DISTINCT item, least(8, len(w)) AS n, array_to_string(w[i:i + least(8, len(w)) - 1], ' ') AS gram
+  FROM (SELECT item, w, unnest(range(1, greatest(2, len(w) - 6))) AS i FROM tests WHERE len(w) > 0)
+), sizes AS (
+  SELECT DISTINCT n FROM grams
+), spots AS (
+  SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS gram
+  FROM (SELECT r, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS i FROM lowered, sizes WHERE len(w) >= n)
+), hits AS (
+  SELECT r, i, s.n, item FROM spots s JOIN grams g ON g.n = s.n AND g.gram = s.gram
+), words AS (
+  SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT r, i, n FROM hits)) GROUP BY r
+), items AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM lowered LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontamination": OP8}
