@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, sentencepiece_bpe, toxicity, urls, winnow
+from . import decontaminate, jaccard, quality, sentencepiece_bpe, toxicity, urls, winnow
 from ._common import fold, table
 
 
@@ -48,6 +48,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.learn(pages))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op2_quality": op2_quality,
@@ -56,6 +60,7 @@ def queries():
         "op6_fingerprints": op6_fingerprints,
         "op8_decontamination": op8_decontamination,
         "op9_url_filter": op9_url_filter,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
@@ -88,5 +93,30 @@ FROM lowered LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
 
+#: Sets of 5-word shingles, their links, and the least doc_id that links reach.
+OP10 = r"""
+WITH RECURSIVE lowered AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), grams AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS gram
+  FROM (SELECT r, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM lowered WHERE len(w) > 0)
+), sizes AS (
+  SELECT r, count(*) AS n FROM grams GROUP BY r
+), common AS (
+  SELECT a.r AS x, b.r AS y, count(*) AS c FROM grams a JOIN grams b ON a.gram = b.gram AND a.r < b.r GROUP BY a.r, b.r
+), links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.r = x JOIN sizes q ON q.r = y WHERE 100 * c >= 80 * (p.n + q.n - c)
+), reach AS (
+  SELECT r, r AS other FROM lowered
+  UNION
+  SELECT reach.r, l.y FROM reach JOIN (SELECT x, y FROM links UNION ALL SELECT y, x FROM links) l ON l.x = reach.other
+)
+SELECT a.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(b.doc_id) AS component_id
+FROM reach JOIN lowered a ON a.r = reach.r JOIN lowered b ON b.r = reach.other LEFT JOIN sizes ON sizes.r = a.r
+GROUP BY a.r, a.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": OP8}
+    return {"op8_decontamination": OP8, "op10_jaccard_join": OP10}
