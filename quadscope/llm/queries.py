@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, quality, sentencepiece_bpe, toxicity, urls, winnow
+from . import chat, decontaminate, jaccard, licenses, quality, sentencepiece_bpe, token_counts, toxicity, urls, winnow
 from ._common import fold, table
 
 
@@ -19,12 +19,20 @@ def _verdicts(scored: DataFrame, held_out) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.learn(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
     return _verdicts(quality.score(docs, model), fold("doc_id", 5) == 0)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
@@ -39,6 +47,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_next(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -54,10 +66,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     return {
+        "op1_chat_rotation": op1_chat_rotation,
         "op2_quality": op2_quality,
+        "op3_token_counts": op3_token_counts,
         "op4_toxicity": op4_toxicity,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_fingerprints": op6_fingerprints,
+        "op7_license_scan": op7_license_scan,
         "op8_decontamination": op8_decontamination,
         "op9_url_filter": op9_url_filter,
         "op10_jaccard_join": op10_jaccard_join,
@@ -118,5 +133,54 @@ GROUP BY a.r, a.doc_id
 """
 
 
+#: The dialogue as each speaker's, with running character offsets.
+OP1 = r"""
+WITH turns AS (
+  SELECT row_number() OVER () AS id, conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+), speakers AS (
+  SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'
+), pieces AS (
+  SELECT s.conv_id, perspective, id, turn, role, text, '<|' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || '|>' || chr(10) AS head
+  FROM speakers s JOIN turns t ON t.conv_id IS NOT DISTINCT FROM s.conv_id
+), placed AS (
+  SELECT *, head || text || chr(10) || '<|end|>' || chr(10) AS piece,
+    sum(length(head) + length(text) + 9) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, role, text, id ROWS UNBOUNDED PRECEDING) AS stop
+  FROM pieces
+)
+SELECT conv_id, perspective, CAST(0 AS BIGINT) AS part, CAST(count(*) AS BIGINT) AS n_turns,
+  string_agg(piece, '' ORDER BY turn NULLS LAST, role, text, id) AS text,
+  coalesce(string_agg(CAST(stop - length(text) - 9 AS BIGINT) || '-' || CAST(stop AS BIGINT), ',' ORDER BY turn NULLS LAST, role, text, id) FILTER (WHERE role = perspective), '') AS mask_spans,
+  CAST(coalesce(sum(length(text) + 9) FILTER (WHERE role = perspective), 0) AS BIGINT) AS n_masked
+FROM placed GROUP BY conv_id, perspective
+"""
+
+
+def op7_sql() -> str:
+    """Shares of every template in every window, without MinHash."""
+    rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in sorted(licenses.TEMPLATES.items()))
+    return rf"""
+WITH templates(license, text) AS (VALUES {rows}),
+lowered AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), wanted AS (
+  SELECT license, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM templates
+), parts AS (
+  SELECT DISTINCT license, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT license, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM wanted)
+), sizes AS (
+  SELECT license, count(*) AS m, CAST(greatest(1, floor(count(*) / 4)) AS BIGINT) AS stride FROM parts GROUP BY license
+), grams AS (
+  SELECT r, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT r, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM lowered WHERE len(w) > 0)
+), hits AS (
+  SELECT g.r, p.license, g.gram, g.pos, z.m, z.stride FROM grams g JOIN parts p ON p.gram = g.gram JOIN sizes z ON z.license = p.license
+), spread AS (
+  SELECT r, license, gram, m, stride * unnest(range(CAST(greatest(0, floor((pos - m - stride + 2) / stride)) AS BIGINT), CAST(floor(pos / stride) + 1 AS BIGINT))) AS start, pos, stride FROM hits
+), shares AS (
+  SELECT r, license, start, count(DISTINCT gram) / any_value(m) AS share FROM spread WHERE start <= pos AND pos <= start + m + stride - 2 GROUP BY r, license, start
+)
+SELECT doc_id, license, max(share) AS containment, CAST(count(*) AS BIGINT) AS n_windows, CAST(min(start) AS BIGINT) AS first_word
+FROM shares JOIN lowered USING (r) WHERE share >= 0.8 GROUP BY r, doc_id, license
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": OP8, "op10_jaccard_join": OP10}
+    return {"op1_chat_rotation": OP1, "op7_license_scan": op7_sql(), "op8_decontamination": OP8, "op10_jaccard_join": OP10}
