@@ -40,6 +40,8 @@ SEED = ("disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "
 EXCEPTIONS = ("clown fish", "class clown", "trash bin", "trash can", "trash bag", "idiot proof", "pond scum")
 #: Labelled rows at most that the lexicon and the curve are learned from.
 SAMPLE = 6_000
+#: Chance at which a gram of texts without bearing would be in toxic ones only.
+CHANCE = 1e-6
 SEED_WEIGHT, LEAST_WEIGHT, MOST_ENTRIES = 3.0, 2.0, 5_000
 PREFIXES = range(4, 9)
 
@@ -129,7 +131,9 @@ def learn(docs: DataFrame, labels: DataFrame, train, limit: int = SAMPLE) -> Lex
     if pos and neg:
         weight = F.log((F.col("pos") + 0.5) / (pos + 1.0)) - F.log((F.col("neg") + 0.5) / (neg + 1.0))
         counted = sample.select("text", "label").mapInArrow(count, "gram string, pos long, neg long").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        ranked = counted.where((F.col("pos") >= max(3, pos // 500)) & (F.col("neg") * 40 <= F.col("pos"))).withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT)
+        # so often, and in such texts only, that chance hardly ever makes it
+        least = max(math.ceil(math.log(CHANCE) / math.log(pos / (pos + neg))), pos // 60)
+        ranked = counted.where((F.col("pos") >= least) & (F.col("neg") * 20 <= F.col("pos"))).withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT)
         rows = ranked.orderBy(F.desc("pos"), F.length("gram"), "gram").limit(4 * MOST_ENTRIES).collect()
         taken: set[str] = set()
         for r in rows:  # a beginning stands for all that begin with it
