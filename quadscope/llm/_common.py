@@ -59,15 +59,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, limit
     return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
 
 
-def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_CHARS, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that one slice holds about ``size`` bytes of ``column`` or a single row."""
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_CHARS, column: str = "text", rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that one slice holds about ``size`` bytes of ``column`` or a single row, and
+    ``rows`` rows at most."""
     import pyarrow.compute as pc
 
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
         start = held = 0
         for i, n in enumerate(lengths):
-            if held and held + n > size:
+            if (held and held + n > size) or i - start >= rows:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += int(n)

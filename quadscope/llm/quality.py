@@ -26,6 +26,8 @@ from . import _common
 SAMPLE, DIMENSIONS, K = 4_000, 48, 15
 #: Documents of which the products with the labelled vectors are held at a time.
 BLOCK = 512
+#: Texts whose term counts are held at a time.
+ROWS = 2_000
 
 
 def _classes() -> np.ndarray:
@@ -129,7 +131,7 @@ def learn(docs: DataFrame, labels: DataFrame, train, limit: int = SAMPLE) -> Mod
     sample = _common.labelled_sample(docs, labels, "quality", train, limit).select("text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _common.slices(batches):
+        for batch in _common.slices(batches, rows=ROWS):
             found = counts([(t or "").encode() for t in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in found], pa.binary()), batch.column(1)], ["terms", "label"])
 
@@ -154,7 +156,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SAMPLE and DIMENSIONS bound it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _common.slices(batches):
+        for batch in _common.slices(batches, rows=ROWS):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(batch.column(1).to_pylist()), pa.float64())], [key, "score"])
 
     return picked.mapInArrow(run, f"{key} {picked.schema[key].dataType.simpleString()}, score double")
@@ -166,7 +168,7 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in _common.slices(batches):
+        for batch in _common.slices(batches, rows=ROWS):
             yield batch.filter(pa.array(shared.value.score(batch.column(at).to_pylist()) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
