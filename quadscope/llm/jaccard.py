@@ -6,9 +6,12 @@ the set; among a million different texts two digests meet with a chance of 3e-8)
 
 1. One scan gives every row's set size and class, and a count sketch of fixed width over all shingles.
 2. In the global order (sketch count, hash), two sets that link share a shingle within their prefixes of
-   ``n - ceil(0.8 n) + 1``.  Rows (shingle, class) meet by shingle; a shingle of several classes puts all
-   of them into the block of its least class, so every linking pair lies in some block.  Shingles that the
-   sketch finds in a large share of all rows are dealt over many tasks.
+   ``n - ceil(0.8 n) + 1``.  Rows (shingle, class, n, reach) meet by shingle, where ``reach`` is the largest
+   set that can link if this is the first common shingle: with ``i`` shingles before it, ``(5 n - 9 i) / 4``.
+   Of a few classes, every pair within each other's reach joins the block of its smaller set; more of them
+   are cut where no set reaches on, and a piece joins the block of its smallest set.  So every linking
+   pair lies in some block.  Shingles that the sketch finds in a large share of all rows are dealt over
+   many tasks.
 3. Blocks are cut into chunks of bounded size; each chunk also gets the block's leader.  In a chunk the
    leader is compared with all, then a signature tree over the chunk (nodes hold the OR of token bitmaps,
    the range of set sizes and the largest number of tokens beyond set bits) is joined with itself by dual
@@ -43,10 +46,12 @@ SKETCH, SKETCH_ROW = 1 << 20, 1 << 12
 #: Classes, and tokens, of a chunk.
 CHUNK, CHUNK_TOKENS = 512, 2_000_000
 #: A shingle that the sketch finds in one of so many rows is dealt over SALTS tasks.
-HOT_SHARE, SALTS = 200, 64
+HOT_SHARE, HOT_LEAST, SALTS = 200, 1000, 64
 #: Bits of the broadcast filter of classes that take part in a block (false ones only cost time).
-FILTER_BITS = 1 << 23
+FILTER_BITS, FILTER_PARTS = 1 << 23, 16
 BITMAP, FANOUT = 1024, 8
+#: Classes of a shingle of which all pairs are looked at; rows of a shingle that a task holds at most.
+FEW, GIANT = 9, 50_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
@@ -307,9 +312,9 @@ def _sketch(parts: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray, rows: int) -> DataFrame:
-    """(token, salt, ref, n): the prefix shingles of every class, once a task."""
+    """(token, salt, ref, n, reach): the prefix shingles of every class, once a task."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.uint32 if sketch.max(initial=0) < 2**32 else np.uint64))  # SKETCH bounds it
-    hot = max(1000, rows // HOT_SHARE)
+    hot = max(HOT_LEAST, rows // HOT_SHARE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
@@ -327,63 +332,94 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, rows: int) -> DataFrame:
             if not tokens:
                 continue
             lengths = [len(t) for t in tokens]
+            place = np.concatenate([np.arange(k) for k in lengths])
             flat, ref, n = np.concatenate(tokens), np.repeat(np.array(refs, np.int64), lengths), np.repeat(np.array(sizes, np.int64), lengths)
             salt = np.where(counts[(flat % np.uint64(SKETCH)).astype(np.int64)] >= hot, 1 + ref % SALTS, 0).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(salt), pa.array(ref), pa.array(n)], ["token", "salt", "ref", "n"])
-
-    return docs.select("text").mapInArrow(run, "token long, salt int, ref long, n long")
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(salt), pa.array(ref), pa.array(n), pa.array(((OF * n) - (SHARE + OF) * place) // SHARE)], ["token", "salt", "ref", "n", "reach"])
+
+    return docs.select("text").mapInArrow(run, "token long, salt int, ref long, n long, reach long")
+
+
+def _pairs_of_run(token, salt, ref, n, reach, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
+    """(row of the block's set, row of a member) for whole runs of equal (token, salt), sorted by n, ref."""
+    new = np.append(True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]))
+    run = np.cumsum(new) - 1
+    start = np.flatnonzero(new)
+    length = np.diff(np.append(start, len(token)))
+    small = length <= few
+    left, right = [], []
+    for gap in range(1, few):
+        k = np.flatnonzero((run[gap:] == run[:-gap]) & small[run[:-gap]]) if gap < len(run) else np.zeros(0, np.int64)
+        k = k[(n[k + gap] <= reach[k]) & (n[k] <= reach[k + gap])]
+        left.append(k)
+        right.append(k + gap)
+    for r in np.flatnonzero(~small):
+        rows = np.arange(start[r], start[r] + length[r])
+        far = np.maximum.accumulate(reach[rows])
+        piece = np.append(0, np.cumsum(n[rows][1:] > far[:-1]))
+        head = rows[np.searchsorted(piece, piece)]
+        keep = head != rows
+        left.append(head[keep])
+        right.append(rows[keep])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _memberships(prefixes: DataFrame) -> DataFrame:
-    """(lead, token, ref, n): the classes that share a shingle, under its least class; where the shingle is
-    dealt over tasks, ``lead`` is still open (null) and ``token`` is set."""
+    """(lead, lead_n, token, ref, n): classes that may link with others, in the block of ``lead``; where a
+    shingle is dealt over tasks, ``lead`` is still open (null) and ``token`` is set."""
+    names = ["lead", "lead_n", "token", "ref", "n"]
+    few, most = FEW, GIANT
+
+    def told(lead, lead_n, ref, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(lead), pa.array(lead_n), pa.nulls(len(lead), pa.int64()), pa.array(ref), pa.array(n)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (token, salt, least class, its n, told) of the run that may go on
+        rest = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64, np.int64)]
+        giant = None  # (token, salt, its smallest set, n) of a run too long to be held
         for batch in batches:
-            token, salt, ref, n = (batch.column(k).to_numpy() for k in range(4))
+            cols = [np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, batch.columns)]
+            if not len(cols[0]):
+                continue
+            warm = cols[1] != 0
+            if warm.any():
+                yield pa.RecordBatch.from_arrays([pa.nulls(warm.sum(), pa.int64()), pa.nulls(warm.sum(), pa.int64()), pa.array(cols[0][warm]), pa.array(cols[2][warm]), pa.array(cols[3][warm])], names)
+                cols = [c[~warm] for c in cols]
+            token, salt, ref, n, reach = cols
+            again = np.append(False, (token[1:] == token[:-1]) & (ref[1:] == ref[:-1]))  # a class from several tasks
+            token, salt, ref, n, reach = cols = [c[~again] for c in cols]
+            if giant is not None:
+                on = token == giant[0]
+                yield told(np.full(on.sum(), giant[1]), np.full(on.sum(), giant[2]), ref[on], n[on])
+                token, salt, ref, n, reach = cols = [c[~on] for c in cols]
+                if len(token):
+                    giant = None
             if not len(token):
+                rest = cols
                 continue
-            fresh = np.append(True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]))
-            goes_on = last is not None and (last[0], last[1]) == (token[0], salt[0])
-            start = np.maximum.accumulate(np.where(fresh, np.arange(len(token)), 0))
-            lead, lead_n = ref[start], n[start]
-            if goes_on:
-                first_run = start == 0
-                lead, lead_n = np.where(first_run, last[2], lead), np.where(first_run, last[3], lead_n)
-            other = ref != lead
-            once = other & np.append(True, (ref[1:] != ref[:-1]) | fresh[1:])
-            # a leader joins its own block with its first other member
-            firsts = np.flatnonzero(once)
-            firsts = firsts[np.append(True, start[firsts[1:]] != start[firsts[:-1]])] if len(firsts) else firsts
-            if goes_on and last[4]:
-                firsts = firsts[start[firsts] != 0]
-            cold, warm = once & (salt == 0), salt != 0
-            cold_first = firsts[salt[firsts] == 0]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([lead[cold], lead[cold_first], np.zeros(warm.sum(), np.int64)]), mask=np.concatenate([np.zeros(cold.sum() + len(cold_first), bool), np.ones(warm.sum(), bool)])),
-                    pa.array(np.concatenate([np.zeros(cold.sum() + len(cold_first), np.int64), token[warm]]), mask=np.concatenate([np.ones(cold.sum() + len(cold_first), bool), np.zeros(warm.sum(), bool)])),
-                    pa.array(np.concatenate([ref[cold], lead[cold_first], ref[warm]])),
-                    pa.array(np.concatenate([n[cold], lead_n[cold_first], n[warm]])),
-                ],
-                ["lead", "token", "ref", "n"],
-            )
-            told = bool(once[start == start[-1]].any()) or (goes_on and start[-1] == 0 and last[4])
-            last = (token[-1], salt[-1], lead[-1], lead_n[-1], told)
-
-    sorted_ = prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "ref")
-    return sorted_.mapInArrow(run, "lead long, token long, ref long, n long").distinct()
+            last = int(np.searchsorted(token, token[-1]))
+            rest = [c[last:] for c in cols]
+            if len(rest[0]) > most:
+                giant = (rest[0][0], rest[2][0], rest[3][0])
+                yield told(np.full(len(rest[0]), giant[1]), np.full(len(rest[0]), giant[2]), rest[2], rest[3])
+                rest = [c[:0] for c in rest]
+            x, y = _pairs_of_run(*(c[:last] for c in cols), few) if last else ([], [])
+            if len(x):
+                yield told(ref[x], n[x], ref[y], n[y])
+        x, y = _pairs_of_run(*rest, few) if len(rest[0]) else ([], [])
+        if len(x):
+            yield told(rest[2][x], rest[3][x], rest[2][y], rest[3][y])
+
+    sorted_ = prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "ref")
+    return sorted_.mapInArrow(run, "lead long, lead_n long, token long, ref long, n long").distinct()
 
 
 def _blocks(members: DataFrame) -> DataFrame:
     """(lead, chunk, chunks, ref, n), the leader in every chunk of its block."""
-    members = members.cache() if False else members
-    hot = members.where("token is not null").groupBy("token").agg(F.min("ref").alias("_lead"), F.min_by("n", "ref").alias("_n"), F.count_distinct("ref").alias("_k")).where("_k > 1")
-    cold = members.where("lead is not null").select("lead", "ref", "n")
+    hot = members.where("token is not null").groupBy("token").agg(F.min(F.struct("n", "ref")).alias("_lead"), F.count_distinct("ref").alias("_k")).where("_k > 1")
+    cold = members.where("lead is not null")
     # tokens in 1 / HOT_SHARE of all rows: at most HOT_SHARE times the mean set size
-    warm = members.where("token is not null").join(F.broadcast(hot), "token").select(F.col("_lead").alias("lead"), "ref", "n")
-    rows = cold.unionByName(warm).distinct()
+    warm = members.where("token is not null").join(F.broadcast(hot), "token").select(F.col("_lead.ref").alias("lead"), "ref", "n")
+    rows = cold.select("lead", "ref", "n").unionByName(cold.select("lead", F.col("lead").alias("ref"), F.col("lead_n").alias("n"))).unionByName(warm).distinct()
     sizes = rows.groupBy("lead").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_TOKENS)).cast("int").alias("chunks"))
     dealt = rows.join(sizes, "lead").withColumn("chunk", F.pmod(F.xxhash64("ref"), F.col("chunks")).cast("int"))
     lead = dealt.where((F.col("ref") == F.col("lead")) & (F.col("chunks") > 1)).withColumn("chunk", F.explode(F.expr("filter(sequence(0, chunks - 1), c -> c != chunk)")))
@@ -391,16 +427,29 @@ def _blocks(members: DataFrame) -> DataFrame:
 
 
 def _filter_bits(refs: DataFrame) -> bytes:
-    def run(batches):
+    """FILTER_BITS bits, whatever the input; parts of the tasks' filters are put together by executors."""
+    width = FILTER_BITS // 8 // FILTER_PARTS
+
+    def own(batches):
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
         for batch in batches:
             at = batch.column(0).to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)
             np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (np.uint64(1) << (at & np.uint64(7))).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
+        rows = bits.reshape(FILTER_PARTS, width)
+        used = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([rows[i].tobytes() for i in used], pa.binary())], ["part", "bits"])
 
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in refs.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(r.bits, np.uint8)
+    def put_together(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                got = np.frombuffer(bits, np.uint8)
+                total[part] = total[part] | got if part in total else got
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["part", "bits"])
+
+    out = np.zeros((FILTER_PARTS, width), np.uint8)
+    for r in refs.mapInArrow(own, "part int, bits binary").repartition("part").mapInArrow(put_together, "part int, bits binary").collect():
+        out[r.part] |= np.frombuffer(r.bits, np.uint8)
     return out.tobytes()
 
 
