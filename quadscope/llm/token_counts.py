@@ -6,7 +6,8 @@ every document, no index.  Files are read as a stream in path order.  A file is
 the blocks' open ends, and those that cross files by a prefix scan over one summary row a file.
 
 ``write_flat`` makes such files with Spark's own text writer (the row separator is the separator id's
-bytes), so they may lie in any store that Spark reaches.
+bytes), so they may lie in any store that Spark reaches.  The rows' ids are written by the same job, so that
+no second scan of the table has to meet the rows in the same split and order.
 
 Edge cases: an empty file adds nothing; neighbouring separators are documents of 0 tokens; tokens after
 the last separator of the stream are a document that is marked as not closed; a file whose size is no
@@ -16,22 +17,26 @@ documents of their own; an empty table gives an empty result; extra columns are
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _common, sentencepiece_bpe
 
-#: Token ids searched at a time; documents of a flat file.
-BLOCK, FILE_DOCUMENTS = 1 << 20, 20_000
+#: Token ids searched at a time; slices (of about 1,000,000 bytes of text at most) of a flat file.
+BLOCK, FILE_SLICES = 1 << 20, 32
 SEPARATOR = 2  # </s>, which no text is encoded to
 
 
 def write_flat(docs: DataFrame, model_path: str, path: str, separator: int = SEPARATOR) -> None:
-    """Encode ``text`` and write flat 16-bit files below ``path``, in the order of the rows."""
+    """Encode ``text`` and write flat 16-bit files below ``path``/kind=0, in the order of the rows.  The same
+    task attempt writes its rows' ``doc_id`` below ``path``/kind=1, a line for each slice: the place of its
+    first row in the task and the ids as an Arrow stream."""
     with open(model_path, "rb") as f:  # a vocabulary file of the driver; its size bounds the broadcast
         data = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -42,13 +47,49 @@ def write_flat(docs: DataFrame, model_path: str, path: str, separator: int = SEP
         model = sentencepiece_bpe.load(data.value)
         if model.size > 1 << 16 or separator in model.ids.values():
             raise ValueError("the vocabulary does not fit")
+        ending, nth = np.array([separator], "<u2").tobytes(), 0
         for batch in _common.slices(batches, 1_000_000):
-            found = [np.fromstring(ids, np.uint16, sep=",").tobytes() if ids else b"" for _, ids, _ in model.round_trip([t or "" for t in batch.column(0).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["value"])
+            found = [np.fromstring(ids, np.uint16, sep=",").tobytes() if ids else b"" for _, ids, _ in model.round_trip([t or "" for t in batch.column(1).to_pylist()])]
+            values = [ending.join(found), b"%d %s" % (nth, _packed(batch.column(0)))]
+            yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([nth, nth], pa.int64()), pa.array(values, pa.binary())], ["kind", "nth", "value"])
+            nth += batch.num_rows
 
-    flat = docs.select("text").mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    ending = np.array([separator], "<u2").tobytes().decode("latin-1")
-    flat.write.option("lineSep", ending).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", FILE_DOCUMENTS).text(path)
+    rows = docs.select("doc_id", "text").mapInArrow(run, "kind int, nth long, value binary")
+    rows = rows.sortWithinPartitions("kind", "nth").select("kind", F.col("value").cast("string").alias("value"))
+    rows.write.partitionBy("kind").options(**_ends(separator)).option("maxRecordsPerFile", FILE_SLICES).text(path)
+
+
+def _ends(separator: int) -> dict[str, str]:
+    return {"lineSep": np.array([separator], "<u2").tobytes().decode("latin-1"), "encoding": "ISO-8859-1"}
+
+
+def _packed(ids: pa.Array) -> bytes:
+    """A line without separators: base64 of the ids as an Arrow stream."""
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([ids], ["doc_id"])
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return base64.b64encode(sink.getvalue())
+
+
+def _ids(docs: DataFrame, path: str, separator: int = SEPARATOR) -> DataFrame:
+    """(task, nth, doc_id) as ``write_flat`` left them."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for task, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                first, _, packed = line.partition(" ")
+                for ids in pa.ipc.open_stream(base64.b64decode(packed)):
+                    m = ids.num_rows
+                    yield pa.RecordBatch.from_arrays([pa.array([task] * m, pa.int32()), pa.array(np.arange(m) + int(first), pa.int64()), ids.column(0)], ["task", "nth", "doc_id"])
+
+    lines = docs.sparkSession.read.options(**_ends(separator)).text(f"{path}/kind=1")
+    return lines.select(_task(F.input_file_name()), "value").mapInArrow(run, f"task int, nth long, doc_id {kind}")
+
+
+def _task(file):
+    return F.regexp_extract(file, r"part-(\d+)-[^/]*$", 1).cast("int").alias("task")
 
 
 def block_scan(tokens: np.ndarray, separator: int, block: int = BLOCK) -> tuple[np.ndarray, int]:
@@ -106,13 +147,16 @@ def _few(files: DataFrame, limit: int = 10_000) -> bool:
 
 def count(docs: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, n_tokens) of every row: flat files are written below the shared folder and scanned; the
-    n-th document of a task's files is the n-th row of that task's share of the table."""
+    n-th document of a task's flat files is the n-th of the ids that this task wrote beside them."""
     spark = docs.sparkSession
     path = _common.scratch_dir(spark, "flat")
     write_flat(docs, model_path, path)
-    found = scan(spark, path).withColumn("task", F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("int"))
+    if "kind" not in spark.read.format("binaryFile").load(path).columns:  # no row, hence no file
+        return docs.select("doc_id", F.lit(0).cast("long").alias("n_tokens")).limit(0)
+    found = scan(spark, f"{path}/kind=0").withColumn("task", _task(F.col("file")))
     per_file = found.groupBy("task", "file").count()
     per_file = per_file.withColumn("skip", F.coalesce(F.sum("count").over(Window.partitionBy("task").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     numbered = found.join(per_file.select("file", "skip"), "file").select("task", (F.col("skip") + F.col("place")).alias("nth"), "n_tokens")
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_at")).select("doc_id", F.shiftright("_at", 33).cast("int").alias("task"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("nth"))
-    return rows.join(numbered, ["task", "nth"]).select("doc_id", "n_tokens")
+    rows = _ids(docs, path).withColumn("_id", F.lit(True)).join(numbered.withColumn("_count", F.lit(True)), ["task", "nth"], "full")
+    torn = F.raise_error(F.concat(F.lit("ids and flat files of task "), F.col("task"), F.lit(" differ at row "), F.col("nth")))
+    return rows.select("doc_id", F.when(F.col("_id").isNull() | F.col("_count").isNull(), torn.cast("long")).otherwise(F.col("n_tokens")).alias("n_tokens"))

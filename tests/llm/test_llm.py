@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -377,6 +378,20 @@ def test_counts(odd, none, some):
     assert token_counts.count(none, MODEL).count() == 0
 
 
+def test_counts_of_rows_without_a_stable_order(spark):
+    """Every run of this table's plan meets the rows in another order."""
+
+    def mixed(batches):
+        for batch in batches:
+            yield batch.take(pa.array(np.random.default_rng().permutation(batch.num_rows)))
+
+    rows = [(i, "a " * i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sp = library()
+    got = token_counts.count(df.mapInArrow(mixed, df.schema), MODEL)
+    assert sorted(tuple(r) for r in got.collect()) == [(i, len(sp.encode(t))) for i, t in rows]
+
+
 # --- pipeline
 
 
