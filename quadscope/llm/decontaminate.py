@@ -17,6 +17,7 @@ kept by ``remove``.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -135,7 +136,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, min_items: int = 2,
         )
 
     if blocks == 1:
-        shared = docs.sparkSession.sparkContext.broadcast([(r.item, r.text) for r in items.collect()])
+        shared = _shared(docs, items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = _loaded(shared, n)
@@ -155,7 +156,7 @@ def _scan_blocks(picked, items, blocks, n, min_items, key, kind, columns, rows)
     tagged = picked.withColumn("_tag", F.xxhash64(F.col(key).cast("string"), "text"))
     parts = []
     for b in range(blocks):
-        shared = picked.sparkSession.sparkContext.broadcast([(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()])
+        shared = _shared(picked, items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b))
 
         def run(batches, shared=shared):
             windows = _loaded(shared, n)
@@ -190,16 +191,22 @@ def _scan_blocks(picked, items, blocks, n, min_items, key, kind, columns, rows)
     return tagged.join(hits, "_tag", "left").select(key, "text", "_marks", "_items").mapInArrow(merge, f"{key} {kind}, {columns}")
 
 
-_LOADED: list[tuple[int, int, WindowSet]] = []
+def _shared(docs: DataFrame, items: DataFrame):
+    """A broadcast of (a name of its own, the items)."""
+    return docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r.item, r.text) for r in items.collect()]))
+
+
+_LOADED: list[tuple[str, int, WindowSet]] = []
 
 
 def _loaded(shared, n: int) -> WindowSet:
     """The window set of a broadcast, built once in a Python worker."""
+    name, items = shared.value
     for held, length, windows in _LOADED:
-        if held == id(shared.value) and length == n:
+        if held == name and length == n:
             return windows
-    windows = WindowSet([(item, words_of(text)) for item, text in shared.value], n)
-    _LOADED[:] = [(id(shared.value), n, windows)]
+    windows = WindowSet([(item, words_of(text)) for item, text in items], n)
+    _LOADED[:] = [(name, n, windows)]
     return windows
 
 
@@ -212,7 +219,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", n: in
     if blocks > 1:
         bad = scan(docs, benchmark, n, min_items, max_windows).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
         return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
-    shared = docs.sparkSession.sparkContext.broadcast([(r.item, r.text) for r in items.collect()])
+    shared = _shared(docs, items)
     at = docs.columns.index("text")
 
     def run(batches):
@@ -229,7 +236,7 @@ def _cut(docs: DataFrame, benchmark: DataFrame, n: int, max_windows: int) -> Dat
     items, blocks = _blocks(benchmark, max_windows)
     if blocks > 1:
         raise ValueError("span removal takes a test set of one block; raise max_windows or split the test set")
-    shared = docs.sparkSession.sparkContext.broadcast([(r.item, r.text) for r in items.collect()])
+    shared = _shared(docs, items)
     word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     at = docs.columns.index("text")
 

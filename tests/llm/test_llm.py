@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +118,18 @@ def test_spans_are_cut(spark):
     assert [r.text for r in decontaminate.remove(df, bench, mode="spans").orderBy("doc_id").collect()] == ["Begin: . End", None]
 
 
+def test_windows_of_another_benchmark_are_not_taken(spark, monkeypatch):
+    """A worker that keeps windows meets another list of items at the address of the first."""
+    monkeypatch.setattr(decontaminate, "id", lambda _: 7, raising=False)
+    monkeypatch.setattr(decontaminate, "_LOADED", [])
+    docs = SimpleNamespace(columns=["text"], schema=None, mapInArrow=lambda run, _: run)
+    docs.sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda v: SimpleNamespace(value=v)))
+    batch = pa.RecordBatch.from_arrays([pa.array(["one two three", "four five six"])], ["text"])
+    for item, left in (("one two three", "four five six"), ("four five six", "one two three")):
+        run = decontaminate.remove(docs, spark.createDataFrame([(0, item)], "item_id long, text string"), min_items=1)
+        assert [t for b in run([batch]) for t in b.column(0).to_pylist()] == [left]
+
+
 # --- Jaccard join
 
 
