@@ -384,6 +384,8 @@ def _memberships(prefixes: DataFrame) -> DataFrame:
             if warm.any():
                 yield pa.RecordBatch.from_arrays([pa.nulls(warm.sum(), pa.int64()), pa.nulls(warm.sum(), pa.int64()), pa.array(cols[0][warm]), pa.array(cols[2][warm]), pa.array(cols[3][warm])], names)
                 cols = [c[~warm] for c in cols]
+                if not len(cols[0]):  # nothing was carried over either: ``rest`` holds no warm row
+                    continue
             token, salt, ref, n, reach = cols
             again = np.append(False, (token[1:] == token[:-1]) & (ref[1:] == ref[:-1]))  # a class from several tasks
             token, salt, ref, n, reach = cols = [c[~again] for c in cols]

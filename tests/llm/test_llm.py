@@ -182,6 +182,13 @@ def test_components(spark, monkeypatch, chunk, hot, few, giant):
     assert sorted((tuple(r) for r in jaccard.join(df).collect()), key=repr) == brute_components(rows)
 
 
+def test_components_where_every_shingle_is_hot(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT_LEAST", 5)
+    rows = [(i, f"a text of few words that is there {'again' if i % 2 else 'anew'} and again") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in jaccard.join(df).collect()), key=repr) == brute_components(rows)
+
+
 def test_components_of_odd_rows(odd, none):
     assert sorted((tuple(r) for r in jaccard.join(odd).collect()), key=repr) == brute_components(texts(odd))
     kept = jaccard.one_of_each(odd)
