@@ -47,6 +47,8 @@ SKETCH, SKETCH_ROW = 1 << 20, 1 << 12
 CHUNK, CHUNK_TOKENS = 512, 2_000_000
 #: A shingle that the sketch finds in one of so many rows is dealt over SALTS tasks.
 HOT_SHARE, HOT_LEAST, SALTS = 200, 1000, 64
+#: Such shingles of which a broadcast is made; more are joined without.
+HOT_FEW = 100_000
 #: Bits of the broadcast filter of classes that take part in a block (false ones only cost time).
 FILTER_BITS, FILTER_PARTS = 1 << 23, 16
 BITMAP, FANOUT = 1024, 8
@@ -419,8 +421,10 @@ def _blocks(members: DataFrame) -> DataFrame:
     """(lead, chunk, chunks, ref, n), the leader in every chunk of its block."""
     hot = members.where("token is not null").groupBy("token").agg(F.min(F.struct("n", "ref")).alias("_lead"), F.count_distinct("ref").alias("_k")).where("_k > 1")
     cold = members.where("lead is not null")
-    # tokens in 1 / HOT_SHARE of all rows: at most HOT_SHARE times the mean set size
-    warm = members.where("token is not null").join(F.broadcast(hot), "token").select(F.col("_lead.ref").alias("lead"), "ref", "n")
+    # hot counters are shared by many tokens, so nothing bounds their number
+    hot = _common.written(hot, "hot")
+    few = hot.limit(HOT_FEW + 1).count() <= HOT_FEW
+    warm = members.where("token is not null").join(F.broadcast(hot) if few else hot, "token").select(F.col("_lead.ref").alias("lead"), "ref", "n")
     rows = cold.select("lead", "ref", "n").unionByName(cold.select("lead", F.col("lead").alias("ref"), F.col("lead_n").alias("n"))).unionByName(warm).distinct()
     sizes = rows.groupBy("lead").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_TOKENS)).cast("int").alias("chunks"))
     dealt = rows.join(sizes, "lead").withColumn("chunk", F.pmod(F.xxhash64("ref"), F.col("chunks")).cast("int"))

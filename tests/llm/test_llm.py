@@ -189,6 +189,20 @@ def test_components_where_every_shingle_is_hot(spark, monkeypatch):
     assert sorted((tuple(r) for r in jaccard.join(df).collect()), key=repr) == brute_components(rows)
 
 
+def test_many_hot_shingles_are_not_broadcast(spark, monkeypatch):
+    members = spark.createDataFrame([(None, None, t, r, 5 + r) for t in range(20) for r in range(3)], "lead long, lead_n long, token long, ref long, n long")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wanted = sorted(tuple(r) for r in jaccard._blocks(members).collect())
+        monkeypatch.setattr(jaccard, "HOT_FEW", 3, raising=False)
+        many = jaccard._blocks(members)
+        assert "Broadcast" not in many._jdf.queryExecution().executedPlan().toString()
+        assert wanted and sorted(tuple(r) for r in many.collect()) == wanted
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_components_of_odd_rows(odd, none):
     assert sorted((tuple(r) for r in jaccard.join(odd).collect()), key=repr) == brute_components(texts(odd))
     kept = jaccard.one_of_each(odd)
