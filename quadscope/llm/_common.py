@@ -8,7 +8,6 @@ from itertools import islice
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 #: Code points handled at a time inside one Python task; bounds its memory.
 SLICE_CHARS = 4_000_000
@@ -76,8 +75,12 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_CHARS, column: s
             yield batch.slice(start)
 
 
-def arrow_map(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with more underscores where ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def chunked(it, n: int):

@@ -5,8 +5,8 @@ ASCII belongs to words.  A test item's windows are its runs of ``n`` consecutive
 words, but not none, is one window.  Document words become ids of the test vocabulary (-1 elsewhere); a
 rolling hash of the ids finds windows of the set, and each hit is compared id by id.
 
-The window set is broadcast only up to ``max_windows`` windows a time: a larger test set is dealt by hash
-into that many blocks, each scanned on its own, and the hits of all blocks are put together per document.
+The window set is broadcast only up to about ``max_windows`` windows a time: a larger test set is dealt by
+hash into blocks, each scanned on its own, and the hits of all blocks are put together for every row.
 
 Edge cases: a null or empty text has no words; an item without words has no window; a null item_id counts
 as one item written as the empty text; items may repeat (equal windows belong to all of them); an empty
@@ -17,6 +17,7 @@ kept by ``remove``.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from . import _common
 
 N = 8
-#: Windows in one broadcast block (about 100 bytes each).
-MAX_WINDOWS = 2_000_000
+#: Windows in one broadcast block (about 100 bytes each); windows of an item that go to a block together.
+MAX_WINDOWS, PIECE = 2_000_000, 50_000
 _KEEP = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,52 +114,54 @@ def _at(ids: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def _blocks(benchmark: DataFrame, max_windows: int) -> tuple[DataFrame, int]:
-    """The items, and in how many blocks they have to be scanned."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0  # at least as many as there are words
-    return items, max(1, int(-(-total // max_windows)))
+def _pieces(benchmark: DataFrame, n: int) -> DataFrame:
+    """(item, piece, windows): the distinct items, each cut into runs of ``PIECE`` windows, which overlap by
+    n - 1 words, so that no block of windows hangs on the length of one item."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(text)
+                last = max(1, len(words) - n + 1)
+                for parts in _common.chunked(range(0, last if words else 0, PIECE), 64):
+                    pieces = [b" ".join(words[i : min(i + PIECE, last) + n - 1]).decode() for i in parts]
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(pieces), pa.string()), pa.array(pieces, pa.string()), pa.array([min(i + PIECE, last) - i for i in parts], pa.int64())], ["item", "piece", "windows"])
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, min_items: int = 2, max_windows: int = MAX_WINDOWS, key: str = "doc_id") -> DataFrame:
-    """(key, n_words, n_hit, n_items, items_sha256, contaminated, items) of every document."""
-    columns = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
-    items, blocks = _blocks(benchmark, max_windows)
-    picked = docs.select(key, "text")
-    kind = picked.schema[key].dataType.simpleString()
-    names = [key, *(c.split()[0] for c in columns.split(", "))]
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    return items.mapInArrow(run, "item string, piece string, windows long").distinct()
 
-    def rows(keys, found) -> pa.RecordBatch:
-        counts, hit, lists = [f[0] for f in found], [f[1] for f in found], [sorted(f[2]) for f in found]
-        return pa.RecordBatch.from_arrays(
-            [keys, pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in lists], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists], pa.string()), pa.array([len(x) >= min_items for x in lists], pa.bool_()), pa.array(lists, pa.list_(pa.string()))],
-            names,
-        )
 
+def _marked(docs: DataFrame, benchmark: DataFrame, n: int, max_windows: int, shape, schema) -> DataFrame:
+    """``shape(batch, found)`` of all rows, in batches of ``docs`` with a list of (words hit, items).
+
+    A test set of one block is scanned in passing.  For a larger one the rows get a number, which is written
+    with them, so that it stays theirs whatever scans the table again; every block of windows is scanned on
+    its own, and the hits of all blocks meet by that number."""
+    pieces = _pieces(benchmark, n)
+    total = pieces.agg(F.sum("windows")).first()[0] or 0
+    blocks = max(1, -(-total // max_windows))
+    at = docs.columns.index("text")
     if blocks == 1:
-        shared = _shared(docs, items)
+        shared = _shared(pieces)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = _loaded(shared, n)
             for batch in _common.slices(batches):
                 found = []
-                for text in batch.column(1).to_pylist():
-                    count, hit, which = windows.scan(words_of(text))
-                    found.append((count, hit, [windows.names[k] for k in which]))
-                yield rows(batch.column(0), found)
-
-        return picked.mapInArrow(run, f"{key} {kind}, {columns}")
-    return _scan_blocks(picked, items, blocks, n, min_items, key, kind, columns, rows)
-
-
-def _scan_blocks(picked, items, blocks, n, min_items, key, kind, columns, rows) -> DataFrame:
-    """One scan per block of items; a document's row number within its key and text ties its hits together."""
-    tagged = picked.withColumn("_tag", F.xxhash64(F.col(key).cast("string"), "text"))
+                for text in batch.column(at).to_pylist():
+                    marks, which = windows.hits(words_of(text))
+                    found.append((marks, {windows.names[k] for k in which}))
+                yield shape(batch, found)
+
+        return docs.mapInArrow(run, schema)
+    row, hit, item = (_common.free_name(docs, c) for c in ("_row", "_marks", "_items"))
+    rows = _common.written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    pieces = _common.written(pieces.withColumn("block", F.pmod(F.xxhash64("item", "piece"), F.lit(blocks))), "pieces")
     parts = []
     for b in range(blocks):
-        shared = _shared(picked, items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b))
+        shared = _shared(pieces.where(F.col("block") == b))
 
-        def run(batches, shared=shared):
+        def scan_block(batches, shared=shared):
             windows = _loaded(shared, n)
             for batch in _common.slices(batches):
                 keep, spans, which = [], [], []
@@ -168,32 +171,48 @@ def _scan_blocks(picked, items, blocks, n, min_items, key, kind, columns, rows)
                         keep.append(i)
                         spans.append(np.packbits(marks).tobytes())
                         which.append([windows.names[k] for k in got])
-                taken = batch.take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays([taken.column(2), pa.array(spans, pa.binary()), pa.array(which, pa.list_(pa.string()))], ["_tag", "_marks", "_items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(spans, pa.binary()), pa.array(which, pa.list_(pa.string()))], [row, hit, item])
 
-        parts.append(tagged.select(key, "text", "_tag").mapInArrow(run, "_tag long, _marks binary, _items array<string>").dropDuplicates(["_tag"]))
+        parts.append(rows.select(row, "text").mapInArrow(scan_block, f"{row} long, {hit} binary, {item} array<string>"))
     hits = parts[0]
     for part in parts[1:]:
         hits = hits.unionByName(part)
-    hits = hits.groupBy("_tag").agg(F.collect_list("_marks").alias("_marks"), F.flatten(F.collect_list("_items")).alias("_items"))  # at most a row for each block
+    hits = hits.groupBy(row).agg(F.collect_list(hit).alias(hit), F.flatten(F.collect_list(item)).alias(item))  # at most a row for each block
+    width = len(docs.columns)
 
     def merge(batches):
         for batch in _common.slices(batches):
             found = []
-            for text, marks, which in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for text, marks, which in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist(), batch.column(width + 1).to_pylist()):
                 count = len(words_of(text))
                 union = np.zeros(count, bool)
                 for m in marks or []:
                     union |= np.unpackbits(np.frombuffer(m, np.uint8), count=count).astype(bool)
-                found.append((count, int(union.sum()), set(which or [])))
-            yield rows(batch.column(0), found)
+                found.append((union, set(which or [])))
+            yield shape(batch.select(range(width)), found)
 
-    return tagged.join(hits, "_tag", "left").select(key, "text", "_marks", "_items").mapInArrow(merge, f"{key} {kind}, {columns}")
+    return rows.join(hits, row, "left").select(*docs.columns, hit, item).mapInArrow(merge, schema)
 
 
-def _shared(docs: DataFrame, items: DataFrame):
-    """A broadcast of (a name of its own, the items)."""
-    return docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r.item, r.text) for r in items.collect()]))
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, min_items: int = 2, max_windows: int = MAX_WINDOWS, key: str = "doc_id") -> DataFrame:
+    """(key, n_words, n_hit, n_items, items_sha256, contaminated, items) of every document."""
+    columns = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
+    picked = docs.select(key, "text")
+    names = [key, *(c.split()[0] for c in columns.split(", "))]
+
+    def shape(batch: pa.RecordBatch, found) -> pa.RecordBatch:
+        lists = [sorted(which) for _, which in found]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([len(m) for m, _ in found], pa.int64()), pa.array([int(m.sum()) for m, _ in found], pa.int64()), pa.array([len(x) for x in lists], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists], pa.string()), pa.array([len(x) >= min_items for x in lists], pa.bool_()), pa.array(lists, pa.list_(pa.string()))],
+            names,
+        )
+
+    return _marked(picked, benchmark, n, max_windows, shape, f"{key} {picked.schema[key].dataType.simpleString()}, {columns}")
+
+
+def _shared(pieces: DataFrame):
+    """A broadcast of (a name of its own, the items' pieces): the windows of one block."""
+    return pieces.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r.item, r.piece) for r in pieces.select("item", "piece").collect()]))
 
 
 _LOADED: list[tuple[str, int, WindowSet]] = []
@@ -213,50 +232,30 @@ def _loaded(shared, n: int) -> WindowSet:
 def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", n: int = N, min_items: int = 2, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The documents without contaminated ones (``mode="documents"``), all columns kept; or, with
     ``mode="spans"``, all documents, in which every hit run of words is cut out of ``text``."""
-    if mode == "spans":
-        return _cut(docs, benchmark, n, max_windows)
-    items, blocks = _blocks(benchmark, max_windows)
-    if blocks > 1:
-        bad = scan(docs, benchmark, n, min_items, max_windows).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
-    shared = _shared(docs, items)
     at = docs.columns.index("text")
 
-    def run(batches):
-        windows = _loaded(shared, n)
-        for batch in _common.slices(batches):
-            yield batch.filter(pa.array([len(windows.scan(words_of(t))[2]) < min_items for t in batch.column(at).to_pylist()], pa.bool_()))
+    def clean(batch: pa.RecordBatch, found) -> pa.RecordBatch:
+        return batch.filter(pa.array([len(which) < min_items for _, which in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    def cut(batch: pa.RecordBatch, found) -> pa.RecordBatch:
+        texts = [_without(text, marks) if which else text for text, (marks, which) in zip(batch.column(at).to_pylist(), found)]
+        return batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
+    if mode not in ("documents", "spans"):
+        raise ValueError(f"mode is documents or spans, not {mode}")
+    return _marked(docs, benchmark, n, max_windows, clean if mode == "documents" else cut, docs.schema)
 
-def _cut(docs: DataFrame, benchmark: DataFrame, n: int, max_windows: int) -> DataFrame:
-    import re
 
-    items, blocks = _blocks(benchmark, max_windows)
-    if blocks > 1:
-        raise ValueError("span removal takes a test set of one block; raise max_windows or split the test set")
-    shared = _shared(docs, items)
-    word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    at = docs.columns.index("text")
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
-    def run(batches):
-        windows = _loaded(shared, n)
-        for batch in _common.slices(batches):
-            texts = []
-            for text in batch.column(at).to_pylist():
-                marks, items = windows.hits(words_of(text))
-                if items:
-                    raw = text.encode()
-                    spans = [m.span() for m in word.finditer(raw.translate(_KEEP))]
-                    edges = np.diff(np.concatenate([[0], marks.astype(np.int8), [0]]))
-                    begin = 0
-                    out = []
-                    for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)):
-                        out.append(raw[begin : spans[a][0]])
-                        begin = spans[b - 1][1]
-                    text = b"".join([*out, raw[begin:]]).decode()
-                texts.append(text)
-            yield batch.set_column(at, "text", pa.array(texts, pa.string()))
-
-    return docs.mapInArrow(run, docs.schema)
+
+def _without(text: str, marks: np.ndarray) -> str:
+    """The text without its marked words and what stands between neighbouring ones."""
+    raw = text.encode()
+    spans = [m.span() for m in _WORD.finditer(raw.translate(_KEEP))]
+    edges = np.diff(np.concatenate([[0], marks.astype(np.int8), [0]]))
+    out, begin = [], 0
+    for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)):
+        out.append(raw[begin : spans[a][0]])
+        begin = spans[b - 1][1]
+    return b"".join([*out, raw[begin:]]).decode()
