@@ -43,6 +43,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hot_join(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """Left join with ``right``, of which ``key`` is unique.  Keys that hold more than a thousandth of the
+    ``rows`` of ``left`` (and 1,000 of them) are fewer than 1,000, hence joined by broadcast; the others meet
+    by a shuffle."""
+    keys = [r[0] for r in left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > max(1000, rows // 1000)).select(key).collect()]
+    if not keys:
+        return left.join(right, key, "left")
+    is_hot = F.coalesce(F.col(key).isin(keys), F.lit(False))
+    hot = left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, "left")
+    return left.where(~is_hot).join(right, key, "left").unionByName(hot)
+
+
 def fold(key: str, buckets: int):
     """crc32 of the key as text, modulo ``buckets`` (a null key counts as the empty text)."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % F.lit(buckets)

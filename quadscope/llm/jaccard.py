@@ -1,8 +1,9 @@
 """N-gram Jaccard join by signature trees.
 
 A document's set holds the 64-bit hashes of its distinct word 5-grams; two documents link when their sets'
-Jaccard similarity is 0.8 or more.  Equal sets are one class from the start (``ref`` is a 64-bit digest of
-the set; among a million different texts two digests meet with a chance of 3e-8).
+Jaccard similarity is 0.8 or more.  Equal sets are one class from the start: ``ref`` is a 64-bit digest of
+the set, ``also`` 64 bits more.  If two sets of a table share a ref, which ``also`` tells, the table is
+scanned again with another seed, so classes rest on 128 bits while only 64 of them are shuffled.
 
 1. One scan gives every row's set size and class, and a count sketch of fixed width over all shingles.
 2. In the global order (sketch count, hash), two sets that link share a shingle within their prefixes of
@@ -11,15 +12,17 @@ the set; among a million different texts two digests meet with a chance of 3e-8)
    Of a few classes, every pair within each other's reach joins the block of its smaller set; more of them
    are cut where no set reaches on, and a piece joins the block of its smallest set.  So every linking
    pair lies in some block.  Shingles that the sketch finds in a large share of all rows are dealt over
-   many tasks.
-3. Blocks are cut into chunks of bounded size; each chunk also gets the block's leader.  In a chunk the
+   many tasks and cut the same way by sums over set sizes.
+3. Blocks are cut by set size into chunks of bounded size; each chunk also gets the block's leader.  In a chunk the
    leader is compared with all, then a signature tree over the chunk (nodes hold the OR of token bitmaps,
    the range of set sizes and the largest number of tokens beyond set bits) is joined with itself by dual
    traversal: node pairs whose largest possible overlap is too small, or that are connected already, are
    pruned, and what is left is compared exactly.
-4. For blocks of several chunks, chunks that hold more than one component are joined with the others by
-   the same traversal of their two trees.
+4. For blocks of several chunks, chunks that hold more than one component are joined with the others
+   within reach of their sizes by the same traversal of their two trees.
 5. The links (a spanning forest of them) become components by alternating large-star and small-star rounds.
+   Classes, components and nodes that hold more than a thousandth of the rows of a join, fewer than a
+   thousand, are joined by broadcast, so no key's rows meet in one task.
 
 Nothing is capped: no class, block, candidate or link is dropped.
 
@@ -36,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _common
@@ -51,7 +54,8 @@ HOT_SHARE, HOT_LEAST, SALTS = 200, 1000, 64
 HOT_FEW = 100_000
 #: Bits of the broadcast filter of classes that take part in a block (false ones only cost time).
 FILTER_BITS, FILTER_PARTS = 1 << 23, 16
-BITMAP, FANOUT = 1024, 8
+#: Bits of a set's bitmap at least and at most (twice the tokens of the largest set between), bytes of a tree's lowest level.
+BITMAP, BITMAP_MOST, LEVEL_BYTES, FANOUT = 1024, 1 << 16, 1 << 25, 8
 #: Classes of a shingle of which all pairs are looked at; rows of a shingle that a task holds at most.
 FEW, GIANT = 9, 50_000
 
@@ -115,8 +119,14 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def _ref(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _names(tokens: np.ndarray, seed: int) -> tuple[int, int]:
+    """The 64-bit name of a set, and 64 more bits that tell whether two sets share it."""
+    both = hashlib.blake2b(tokens.tobytes(), digest_size=16, salt=seed.to_bytes(8, "little")).digest()
+    return int.from_bytes(both[:8], "little", signed=True), int.from_bytes(both[8:], "little", signed=True)
+
+
+def _ref(tokens: np.ndarray, seed: int) -> int:
+    return _names(tokens, seed)[0]
 
 
 def _needed(n: int) -> int:
@@ -140,13 +150,14 @@ def _popcount(bits: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """A signature tree over sets: level 0 holds the sets, each further level a node for FANOUT below."""
+    """A signature tree over sets: level 0 holds the sets, each further level a node for FANOUT below.
+    Trees that are joined need bitmaps of equal ``width``."""
 
-    def __init__(self, sets: list[np.ndarray], component: np.ndarray):
+    def __init__(self, sets: list[np.ndarray], component: np.ndarray, width: int):
         self.sets = sets
-        bits = np.zeros((len(sets), BITMAP // 64), np.uint64)
+        bits = np.zeros((len(sets), width // 64), np.uint64)
         for row, tokens in zip(bits, sets):
-            slot = (tokens % np.uint64(BITMAP)).astype(np.int64)
+            slot = (tokens % np.uint64(width)).astype(np.int64)
             np.bitwise_or.at(row, slot >> 6, np.uint64(1) << (slot & 63).astype(np.uint64))
         sizes = np.array([len(s) for s in sets], np.int64)
         beyond = sizes - _popcount(bits)
@@ -161,6 +172,16 @@ class Tree:
         return self.levels[min(level, len(self.levels) - 1)]
 
 
+def width_for(*groups: list[np.ndarray]) -> int:
+    """Bits of a bitmap that fit the sets of the groups: a set of some thousand tokens would fill a small one."""
+    largest = max(len(s) for sets in groups for s in sets)
+    room = LEVEL_BYTES * 8 // max(len(sets) for sets in groups)
+    width = BITMAP
+    while width < 2 * largest and width < BITMAP_MOST and 2 * width <= room:
+        width *= 2
+    return width
+
+
 def _survive(a, b, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which node pairs can hold a link between components."""
     bits_a, low_a, high_a, beyond_a, comp_a = (x[i] for x in a)
@@ -235,7 +256,7 @@ def _against_one(one: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat((one[at] == flat).astype(np.int64), np.cumsum([0, *(len(s) for s in sets[:-1])]))
 
 
-def chunk_links(sets: list[np.ndarray], leader: int, known: list[int] | None = None) -> list[tuple[int, int]]:
+def chunk_links(sets: list[np.ndarray], leader: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among the sets: the leader against all, then the self-join."""
     union, out = _Union(len(sets)), []
     for i, c in enumerate(_against_one(sets[leader], sets).tolist()):
@@ -245,7 +266,7 @@ def chunk_links(sets: list[np.ndarray], leader: int, known: list[int] | None = N
     component = np.array([union.find(i) for i in order], np.int64)
     if (component == component[0]).all():
         return out
-    tree = Tree([sets[i] for i in order], component)
+    tree = Tree([sets[i] for i in order], component, width_for(sets))
     for i, j in traverse(tree, tree):
         for x, y in zip(i.tolist(), j.tolist()):
             x, y = order[x], order[y]
@@ -257,10 +278,10 @@ def chunk_links(sets: list[np.ndarray], leader: int, known: list[int] | None = N
 
 def cross_links(left: list[np.ndarray], left_of: list[int], right: list[np.ndarray], right_of: list[int]) -> list[tuple[int, int]]:
     """Links between sets of different components (given as small numbers), by two trees."""
-    pair = []
+    pair, width = [], width_for(left, right)
     for sets, of in ((left, left_of), (right, right_of)):
         order = sorted(range(len(sets)), key=lambda i: (of[i], int(sets[i][0]), len(sets[i])))
-        pair.append((order, Tree([sets[i] for i in order], np.array([of[i] for i in order]))))
+        pair.append((order, Tree([sets[i] for i in order], np.array([of[i] for i in order]), width)))
     (order_l, a), (order_r, b) = pair
     union, out = _Union(max([*left_of, *right_of]) + 1), []
     for i, j in traverse(a, b):
@@ -275,25 +296,27 @@ def cross_links(left: list[np.ndarray], left_of: list[int], right: list[np.ndarr
 # --- the distributed join
 
 
-def _scan(docs: DataFrame) -> DataFrame:
-    """Per row (doc_id, n, ref); and per task the rows (part, counts) of its sketch."""
+def _scan(docs: DataFrame, seed: int) -> DataFrame:
+    """Per row (doc_id, tag, n, ref, also), where ``tag`` is a hash of the text; and per task the rows
+    (part, counts) of its sketch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.uint32)
-        names = ["doc_id", "n", "ref", "part", "counts"]
+        names = ["doc_id", "tag", "n", "ref", "also", "part", "counts"]
         ids = pa.int64()
         for batch in _common.slices(batches, 1_000_000):
             ids = batch.column(0).type
             sets = shingle_sets(batch.column(1).to_pylist())
             np.add(sketch, np.bincount((np.concatenate(sets) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint32), out=sketch)
-            m = len(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_ref(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+            m, named = len(sets), [_names(s, seed) if len(s) else (None, None) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*named)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         rows = sketch.reshape(-1, SKETCH_ROW)
         used = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), ids), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), pa.array([rows[i].tobytes() for i in used], pa.binary())], names)
+        none = pa.nulls(len(used), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), ids), none, none, none, none, pa.array(used, pa.int32()), pa.array([rows[i].tobytes() for i in used], pa.binary())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, ref long, part int, counts binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).mapInArrow(run, f"doc_id {kind}, tag long, n long, ref long, also long, part int, counts binary")
 
 
 def _sketch(parts: DataFrame) -> np.ndarray:
@@ -313,8 +336,9 @@ def _sketch(parts: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _prefixes(docs: DataFrame, sketch: np.ndarray, rows: int) -> DataFrame:
-    """(token, salt, ref, n, reach): the prefix shingles of every class, once a task."""
+def _prefixes(docs: DataFrame, sketch: np.ndarray, rows: int, seed: int) -> DataFrame:
+    """(token, salt, info, ref): the prefix shingles of every class, once a task; ``info`` is the set's size
+    and the shingle's place in the order."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.uint32 if sketch.max(initial=0) < 2**32 else np.uint64))  # SKETCH bounds it
     hot = max(HOT_LEAST, rows // HOT_SHARE)
 
@@ -323,7 +347,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, rows: int) -> DataFrame:
         for batch in _common.slices(batches, 1_000_000):
             tokens, refs, sizes = [], [], []
             for s in shingle_sets(batch.column(0).to_pylist()):
-                if not len(s) or (ref := _ref(s)) in seen:
+                if not len(s) or (ref := _ref(s, seed)) in seen:
                     continue
                 seen.add(ref)
                 n = len(s)
@@ -337,9 +361,13 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, rows: int) -> DataFrame:
             place = np.concatenate([np.arange(k) for k in lengths])
             flat, ref, n = np.concatenate(tokens), np.repeat(np.array(refs, np.int64), lengths), np.repeat(np.array(sizes, np.int64), lengths)
             salt = np.where(counts[(flat % np.uint64(SKETCH)).astype(np.int64)] >= hot, 1 + ref % SALTS, 0).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(salt), pa.array(ref), pa.array(n), pa.array(((OF * n) - (SHARE + OF) * place) // SHARE)], ["token", "salt", "ref", "n", "reach"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(salt), pa.array((n << 32) | place), pa.array(ref)], ["token", "salt", "info", "ref"])
+
+    return docs.select("text").mapInArrow(run, "token long, salt int, info long, ref long")
 
-    return docs.select("text").mapInArrow(run, "token long, salt int, ref long, n long, reach long")
+
+def _reach(n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (OF * n - (SHARE + OF) * place) // SHARE
 
 
 def _pairs_of_run(token, salt, ref, n, reach, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
@@ -367,24 +395,28 @@ def _pairs_of_run(token, salt, ref, n, reach, few: int = FEW) -> tuple[np.ndarra
 
 
 def _memberships(prefixes: DataFrame) -> DataFrame:
-    """(lead, lead_n, token, ref, n): classes that may link with others, in the block of ``lead``; where a
-    shingle is dealt over tasks, ``lead`` is still open (null) and ``token`` is set."""
-    names = ["lead", "lead_n", "token", "ref", "n"]
+    """(lead, lead_n, token, ref, n, reach): classes that may link with others, in the block of ``lead``;
+    where a shingle is dealt over tasks, ``lead`` is still open (null), and ``token`` and ``reach`` are set."""
+    names = ["lead", "lead_n", "token", "ref", "n", "reach"]
     few, most = FEW, GIANT
 
     def told(lead, lead_n, ref, n) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(lead), pa.array(lead_n), pa.nulls(len(lead), pa.int64()), pa.array(ref), pa.array(n)], names)
+        none = pa.nulls(len(lead), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(lead), pa.array(lead_n), none, pa.array(ref), pa.array(n), none], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64, np.int64)]
         giant = None  # (token, salt, its smallest set, n) of a run too long to be held
         for batch in batches:
-            cols = [np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, batch.columns)]
+            token, salt, info, ref = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            size = info >> 32
+            cols = [np.concatenate([r, c]) for r, c in zip(rest, (token, salt, ref, size, _reach(size, info & 0xFFFFFFFF)))]
             if not len(cols[0]):
                 continue
             warm = cols[1] != 0
             if warm.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(warm.sum(), pa.int64()), pa.nulls(warm.sum(), pa.int64()), pa.array(cols[0][warm]), pa.array(cols[2][warm]), pa.array(cols[3][warm])], names)
+                none = pa.nulls(warm.sum(), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, *(pa.array(cols[k][warm]) for k in (0, 2, 3, 4))], names)
                 cols = [c[~warm] for c in cols]
                 if not len(cols[0]):  # nothing was carried over either: ``rest`` holds no warm row
                     continue
@@ -413,23 +445,51 @@ def _memberships(prefixes: DataFrame) -> DataFrame:
         if len(x):
             yield told(rest[2][x], rest[3][x], rest[2][y], rest[3][y])
 
-    sorted_ = prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "ref")
-    return sorted_.mapInArrow(run, "lead long, lead_n long, token long, ref long, n long").distinct()
+    sorted_ = prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "info", "ref")
+    return sorted_.mapInArrow(run, "lead long, lead_n long, token long, ref long, n long, reach long").distinct()
+
+
+def _hot_pieces(hot: DataFrame) -> DataFrame:
+    """(token, n, lead) of shingles that are dealt over tasks: where a set of ``n`` belongs.  The classes of
+    a shingle are summed by set size first; sizes are cut where no smaller set reaches on."""
+    sizes = hot.groupBy("token", "n").agg(F.max("reach").alias("far"), F.min("ref").alias("least"), F.count("*").alias("k"))
+    by = Window.partitionBy("token").orderBy("n")  # a row for each size of a set
+    before = F.max("far").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    cut = sizes.withColumn("new", (before.isNull() | (F.col("n") > before)).cast("int")).withColumn("piece", F.sum("new").over(by))
+    own = Window.partitionBy("token", "piece")
+    return cut.select("token", "n", F.first("least").over(own.orderBy("n")).alias("lead"), F.sum("k").over(own).alias("all")).where("all > 1").drop("all")
+
+
+def _cells(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` (with n) with ``chunk``: within ``by`` they are cut by n into chunks of about CHUNK rows and
+    CHUNK_TOKENS tokens; an n that holds more is dealt by hash over chunks of its own."""
+    sums = rows.groupBy(*by, "n").agg(F.count("*").alias("_m"))
+    before = Window.partitionBy(*by).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)  # a row for each size of a set
+    cell = F.floor(F.coalesce(F.sum("_m").over(before), F.lit(0)) / CHUNK) + F.floor(F.coalesce(F.sum(F.col("_m") * F.col("n")).over(before), F.lit(0)) / CHUNK_TOKENS)
+    deal = F.greatest(F.ceil(F.col("_m") / CHUNK), F.ceil(F.col("_m") * F.col("n") / CHUNK_TOKENS))
+    placed = sums.select(*by, "n", (4 * cell).alias("_cell"), deal.alias("_deal"))
+    # what comes after a dealt size lies 4 (deal - 1) further at least
+    chunk = F.col("_cell") + F.when(F.col("_deal") > 1, 1 + F.pmod(F.xxhash64("ref"), F.col("_deal"))).otherwise(0)
+    return rows.join(placed, [*by, "n"]).withColumn("chunk", chunk).drop("_cell", "_deal")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
     """(lead, chunk, chunks, ref, n), the leader in every chunk of its block."""
-    hot = members.where("token is not null").groupBy("token").agg(F.min(F.struct("n", "ref")).alias("_lead"), F.count_distinct("ref").alias("_k")).where("_k > 1")
+    hot = members.where("token is not null").select("token", "ref", "n", "reach")
     cold = members.where("lead is not null")
     # hot counters are shared by many tokens, so nothing bounds their number
-    hot = _common.written(hot, "hot")
-    few = hot.limit(HOT_FEW + 1).count() <= HOT_FEW
-    warm = members.where("token is not null").join(F.broadcast(hot) if few else hot, "token").select(F.col("_lead.ref").alias("lead"), "ref", "n")
+    pieces = _common.written(_hot_pieces(hot), "hot")
+    few = pieces.limit(HOT_FEW + 1).count() <= HOT_FEW
+    warm = hot.join(F.broadcast(pieces) if few else pieces, ["token", "n"]).select("lead", "ref", "n")
     rows = cold.select("lead", "ref", "n").unionByName(cold.select("lead", F.col("lead").alias("ref"), F.col("lead_n").alias("n"))).unionByName(warm).distinct()
-    sizes = rows.groupBy("lead").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_TOKENS)).cast("int").alias("chunks"))
-    dealt = rows.join(sizes, "lead").withColumn("chunk", F.pmod(F.xxhash64("ref"), F.col("chunks")).cast("int"))
-    lead = dealt.where((F.col("ref") == F.col("lead")) & (F.col("chunks") > 1)).withColumn("chunk", F.explode(F.expr("filter(sequence(0, chunks - 1), c -> c != chunk)")))
-    return dealt.unionByName(lead).select("lead", "chunk", "chunks", "ref", "n")
+    rows = _common.written(rows, "rows")
+    sizes = rows.groupBy("lead").agg(F.count("*").alias("_m"), F.sum("n").alias("_t"))
+    large = sizes.where((F.col("_m") > CHUNK) | (F.col("_t") > CHUNK_TOKENS)).select("lead")
+    small = rows.join(large, "lead", "left_anti").select("lead", F.lit(0).cast("long").alias("chunk"), F.lit(1).alias("chunks"), "ref", "n")
+    dealt = _cells(rows.join(large, "lead", "left_semi"), "lead").select("lead", "chunk", F.lit(2).alias("chunks"), "ref", "n")
+    leaders = dealt.where("ref = lead").select("lead", "ref", "n", F.col("chunk").alias("_own"))
+    copies = dealt.select("lead", "chunk").distinct().join(leaders, "lead").where("chunk <> _own").select("lead", "chunk", F.lit(2).alias("chunks"), "ref", "n")
+    return small.unionByName(dealt).unionByName(copies)
 
 
 def _filter_bits(refs: DataFrame) -> bytes:
@@ -459,7 +519,7 @@ def _filter_bits(refs: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _sets(docs: DataFrame, refs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, refs: DataFrame, seed: int) -> DataFrame:
     """(ref, text) of the classes in ``refs``, once a class and task; the fixed filter lets few others by."""
     shared = docs.sparkSession.sparkContext.broadcast(_filter_bits(refs))
 
@@ -470,7 +530,7 @@ def _sets(docs: DataFrame, refs: DataFrame) -> DataFrame:
             keep, refs = [], []
             for i, s in enumerate(shingle_sets(texts)):
                 if len(s):
-                    ref = _ref(s)
+                    ref = _ref(s, seed)
                     at = ref % (1 << 64) % FILTER_BITS
                     if ref not in seen and bits[at >> 3] >> (at & 7) & 1:
                         seen.add(ref)
@@ -481,18 +541,19 @@ def _sets(docs: DataFrame, refs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "ref long, text string")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Runs of rows with equal first ``keys`` columns of sorted batches."""
-    key, rows = None, []
+def _groups(batches: Iterator[pa.RecordBatch], keys: int, same: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with equal first ``keys`` columns of sorted batches, one row for each value of the next
+    ``same`` columns (a class comes from as many tasks as hold it)."""
+    key, rows = None, {}
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if row[:keys] != key:
                 if rows:
-                    yield key, rows
-                key, rows = row[:keys], []
-            rows.append(row[keys:])
+                    yield key, list(rows.values())
+                key, rows = row[:keys], {}
+            rows.setdefault(row[keys : keys + same], row[keys:])
     if rows:
-        yield key, rows
+        yield key, list(rows.values())
 
 
 def _link_rows(pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
@@ -503,8 +564,8 @@ def _link_rows(pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
 def _within_chunks(blocks: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches):
         def pairs():
-            for (lead, _), rows in _groups(batches, 2):
-                by = dict(rows)  # a class may come from several tasks
+            for (lead, _), rows in _groups(batches, 2, 1):
+                by = dict(rows)
                 refs = list(by)
                 if len(refs) > 1:
                     sets = shingle_sets([by[r] for r in refs])
@@ -517,30 +578,28 @@ def _within_chunks(blocks: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.repartition("lead", "chunk").sortWithinPartitions("lead", "chunk").mapInArrow(run, "u long, v long")
 
 
-def _across_chunks(blocks: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links between chunks: blocks are cut anew, large components into chunks of their own, the others
-    together; a chunk of one component only meets chunks with others."""
+def _across_chunks(blocks: DataFrame, roots: DataFrame, docs: DataFrame, seed: int) -> DataFrame:
+    """Links between chunks: blocks are cut anew by set size, large components into chunks of their own, the
+    others together; a chunk of one component only meets chunks with others."""
     rows = blocks.where("chunks > 1").select("lead", "ref", "n").distinct().join(roots, "ref", "left").select("lead", "ref", "n", F.coalesce("root", "ref").alias("root"))
+    rows = _common.written(rows, "rooted")
     parts = rows.groupBy("lead", "root").agg(F.count("*").alias("m"), F.sum("n").alias("t")).withColumn("alone", (F.col("m") >= CHUNK) | (F.col("t") >= CHUNK_TOKENS))
-    rest = parts.where("not alone").groupBy("lead").agg(F.sum("m").alias("rm"), F.sum("t").alias("rt"))
     many = parts.groupBy("lead").count().where("count > 1").select("lead")
-    cut = lambda m, t: F.greatest(F.lit(1), F.ceil(F.col(m) / CHUNK), F.ceil(F.col(t) / CHUNK_TOKENS)).cast("int")
-    parts = parts.join(many, "lead", "left_semi").join(rest, "lead", "left").select("lead", "root", F.when(F.col("alone"), F.col("root")).alias("own"), F.when(F.col("alone"), cut("m", "t")).otherwise(cut("rm", "rt")).alias("k"))
-    dealt = rows.join(parts, ["lead", "root"]).withColumn("chunk", F.when(F.col("own").isNotNull(), F.pmod(F.xxhash64("ref"), F.col("k"))).otherwise(F.pmod(F.xxhash64("root"), F.col("k"))))
-    dealt = _common.written(dealt.select("lead", "ref", "n", "root", "own", "chunk"), "rechunked")
-    chunks = dealt.groupBy("lead", "own", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    named = chunks.withColumn("id", F.xxhash64("lead", "own", "chunk", F.lit(7)))
+    parts = parts.join(many, "lead", "left_semi").select("lead", "root", F.when(F.col("alone"), F.col("root")).alias("own"))
+    dealt = rows.join(parts, ["lead", "root"]).withColumn("group", F.xxhash64("lead", "own", F.lit(7)))
+    dealt = _common.written(_cells(dealt, "group").select("lead", "ref", "n", "root", "own", F.xxhash64("group", "chunk").alias("id")), "rechunked")
+    named = dealt.groupBy("lead", "own", "id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     a, b = named.alias("a"), named.alias("b")
     fits = (F.col("a.id") <= F.col("b.id")) & ((F.col("a.id") != F.col("b.id")) | F.col("a.own").isNull()) & ~F.coalesce(F.col("a.own") == F.col("b.own"), F.lit(False)) & (OF * F.col("a.high") >= SHARE * F.col("b.low")) & (OF * F.col("b.high") >= SHARE * F.col("a.low"))
     pairs = a.join(b, F.col("a.lead") == F.col("b.lead")).where(fits).select(F.col("a.lead").alias("lead"), F.col("a.id").alias("x"), F.col("b.id").alias("y"))
-    members = dealt.withColumn("id", F.xxhash64("lead", "own", "chunk", F.lit(7)))
-    left = pairs.join(members.select("id", "ref", "root"), F.col("x") == F.col("id")).select("x", "y", F.lit(0).alias("side"), "ref", "root")
-    right = pairs.where("x != y").join(members.select("id", "ref", "root"), F.col("y") == F.col("id")).select("x", "y", F.lit(1).alias("side"), "ref", "root")
+    members = dealt.select("id", "ref", "root")
+    left = pairs.join(members, F.col("x") == F.col("id")).select("x", "y", F.lit(0).alias("side"), "ref", "root")
+    right = pairs.where("x != y").join(members, F.col("y") == F.col("id")).select("x", "y", F.lit(1).alias("side"), "ref", "root")
     rows = left.unionByName(right)
 
     def run(batches):
         def found():
-            for (x, y), group in _groups(batches, 2):
+            for (x, y), group in _groups(batches, 2, 2):
                 sides = [{ref: (root, text) for side, ref, root, text in group if side == k} for k in (0, 1)]
                 if x == y:
                     sides[1] = sides[0]
@@ -554,7 +613,7 @@ def _across_chunks(blocks: DataFrame, roots: DataFrame, docs: DataFrame) -> Data
 
         yield from _link_rows(found())
 
-    texts = _sets(docs, rows.select("ref").distinct())
+    texts = _sets(docs, rows.select("ref").distinct(), seed)
     return rows.join(texts, "ref").select("x", "y", "side", "ref", "root", "text").repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(run, "u long, v long")
 
 
@@ -569,34 +628,62 @@ def components(links: DataFrame) -> DataFrame:
         state = got
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = _common.hot_join(both, least, "u", 2 * got["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = _common.written(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+        small = _common.hot_join(large, least, "u", 2 * got["n"]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         edges = _common.written(small, "stars")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of every row (doc_id, n, ref); and of every class (ref, component, first): the least doc_id of its
+    component, and the component's first row as (nameless, doc_id, tag, copies)."""
     docs = docs.select("doc_id", "text")
-    scanned = _common.written(_scan(docs), "scan")
-    rows = scanned.where("part is null").select("doc_id", "n", "ref")
+    for seed in range(64):
+        scanned = _common.written(_scan(docs, seed), "scan")
+        rows = scanned.where("part is null")
+        # rows of equal doc_id and text are copies; they are summed before a class, which may hold a third of all rows
+        copies = rows.where("ref is not null").groupBy("ref", "also", "doc_id", "tag").agg(F.count("*").alias("copies"))
+        first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tag", "copies")
+        classes = _common.written(copies.groupBy("ref").agg((F.min("also") != F.max("also")).alias("torn"), F.min(first).alias("first")), "classes")
+        if classes.where("torn").isEmpty():
+            break
+    else:
+        raise RuntimeError("sets of equal digests under every seed")
+    n = rows.count()
     sketch = _sketch(scanned.where("part is not null").select("part", "counts"))
-    blocks = _common.written(_blocks(_common.written(_memberships(_prefixes(docs, sketch, rows.count())), "members")), "blocks")
-    links = _common.written(_within_chunks(blocks, _sets(docs, blocks.select("ref").distinct())), "within")
+    blocks = _common.written(_blocks(_common.written(_memberships(_prefixes(docs, sketch, n, seed)), "members")), "blocks")
+    links = _common.written(_within_chunks(blocks, _sets(docs, blocks.select("ref").distinct(), seed)), "within")
     roots = components(links)
     if not blocks.where("chunks > 1").isEmpty():
-        more = _across_chunks(blocks, roots, docs)
+        more = _across_chunks(blocks, roots, docs, seed)
         roots = components(roots.select(F.col("ref").alias("u"), F.col("root").alias("v")).unionByName(more))
-    placed = rows.join(roots, "ref", "left").select("doc_id", "n", F.coalesce("root", "ref").alias("root"))
-    least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    rooted = _common.written(classes.select("ref", "first").join(roots, "ref", "left").select("ref", F.coalesce("root", "ref").alias("root"), "first"), "rooted")
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("_f"))
+    placed = _common.hot_join(rooted.select("ref", "root"), firsts, "root", n).select("ref", F.col("_f.doc_id").alias("component"), F.col("_f").alias("first"))
+    return rows.select("doc_id", "n", "ref"), _common.written(placed, "placed")
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row."""
+    rows, placed = _placed(docs)
+    found = _common.hot_join(rows, placed.select("ref", "component"), "ref", rows.count())
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("ref").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each component: that of its least doc_id.  Rows without doc_id stay only where no row of
-    their component has one."""
-    found = join(docs)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    nameless = found.where("component_id is null").limit(1).count() > 0
-    out = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return out.unionByName(docs.where("doc_id is null")) if nameless else out
+    """One row of each component: that of its least doc_id (a null one comes last; of several texts under
+    that doc_id the least hash decides; of rows equal in doc_id and text any one stays).  Rows without words
+    are linked with nothing and all stay."""
+    _, placed = _placed(docs)
+    keep = _common.written(placed.select("first").distinct().select("first.*"), "keep")
+    tag, copies = _common.free_name(docs, "_tag"), F.col("copies")
+    tagged = docs.withColumn(tag, F.xxhash64("text"))
+    some = keep.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_of"), "copies")
+    same = lambda df: (tagged["doc_id"].eqNullSafe(df["_id"])) & (tagged[tag] == df["_of"])
+    once, more = some.where(copies == 1), some.where(copies > 1)
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    out = docs.where(~worded).unionByName(tagged.where(worded).join(once, same(once), "left_semi").select(docs.columns))
+    if more.isEmpty():
+        return out
+    return out.unionByName(tagged.where(worded).join(more, same(more), "left_semi").dropDuplicates(["doc_id", tag]).select(docs.columns))

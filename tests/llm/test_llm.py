@@ -112,10 +112,21 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.remove(odd, bench, min_items=99).columns == odd.columns
 
 
-def test_spans_are_cut(spark):
-    df = spark.createDataFrame([(0, "Begin: one two, three four five six seven eight. End"), (1, None)], "doc_id long, text string")
-    bench = spark.createDataFrame([(0, "one two three four five six seven eight")], "item_id long, text string")
-    assert [r.text for r in decontaminate.remove(df, bench, mode="spans").orderBy("doc_id").collect()] == ["Begin: . End", None]
+@pytest.mark.parametrize("most, piece", [(10_000, 50_000), (3, 2)])
+def test_rows_are_judged_one_by_one(spark, monkeypatch, most, piece):
+    """Rows of one doc_id, or of none, that differ in text; with one block of windows and with several."""
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
+    bad, worse = "Begin: one two, three four five six seven eight. End", "nine one two three four five six seven eight nine ten"
+    rows = [(1, bad), (1, "clean"), (None, bad), (None, "clean"), (2, None), (3, worse), (3, worse)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _row int").repartition(3)
+    bench = spark.createDataFrame([(0, "One two three four five six seven eight nine"), (0, "One two three four five six seven eight nine"), (1, "five six"), (None, "")], "item_id long, text string")
+    kept = decontaminate.remove(df, bench, min_items=1, max_windows=most)
+    assert kept.columns == df.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, "clean"), (None, "clean"), (2, None)], key=repr)
+    cut = decontaminate.remove(df, bench, mode="spans", max_windows=most)
+    assert {r._row: r.text for r in cut.collect()} == {0: "Begin: . End", 1: "clean", 2: "Begin: . End", 3: "clean", 4: None, 5: "nine  ten", 6: "nine  ten"}
+    assert sorted((r._row, r.n_hit, r.n_items) for r in decontaminate.scan(df, bench, key="_row", max_windows=most).collect()) == [(0, 8, 2), (1, 0, 0), (2, 8, 2), (3, 0, 0), (4, 0, 0), (5, 9, 2), (6, 9, 2)]
+    with pytest.raises(ValueError):
+        decontaminate.remove(df, bench, mode="words")
 
 
 def test_windows_of_another_benchmark_are_not_taken(spark, monkeypatch):
@@ -190,7 +201,7 @@ def test_components_where_every_shingle_is_hot(spark, monkeypatch):
 
 
 def test_many_hot_shingles_are_not_broadcast(spark, monkeypatch):
-    members = spark.createDataFrame([(None, None, t, r, 5 + r) for t in range(20) for r in range(3)], "lead long, lead_n long, token long, ref long, n long")
+    members = spark.createDataFrame([(None, None, t, r, 5 + r, 6 + r) for t in range(20) for r in range(3)], "lead long, lead_n long, token long, ref long, n long, reach long")
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -207,15 +218,45 @@ def test_components_of_odd_rows(odd, none):
     assert sorted((tuple(r) for r in jaccard.join(odd).collect()), key=repr) == brute_components(texts(odd))
     kept = jaccard.one_of_each(odd)
     assert kept.columns == odd.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 1, 2, 3, 4, 6, 7, 9, 10]
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([None, 0, 1, 2, 3, 4, 6, 7, 9, 10], key=repr)
     assert jaccard.join(none).count() == 0 and jaccard.one_of_each(none).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Rows of one doc_id are told apart by their texts, and null ids come last."""
+    x, y, z, w = "one two three four five six", "not a copy of anything at all here", "and this stands alone as well today", "a fourth text of its own words here"
+    rows = [(3, x), (3, y), (None, x), (None, z), (9, w), (9, w), (None, z), (None, None), (4, " "), (4, " "), (3, x + " seven eight nine ten eleven")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _tag int").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in jaccard.one_of_each(df).collect()), key=repr)
+    assert got == sorted([(3, x), (3, y), (None, z), (9, w), (None, None), (4, " "), (4, " "), rows[-1]], key=repr)
+
+
+def test_sets_that_share_a_name_are_told_apart(spark, monkeypatch):
+    scan, seen = jaccard._scan, []
+
+    def scanned(docs, seed):
+        seen.append(seed)
+        found = scan(docs, seed)
+        return found if seed else found.withColumn("ref", F.when(F.col("ref").isNotNull(), F.lit(7).cast("long")))
+
+    monkeypatch.setattr(jaccard, "_scan", scanned)
+    rows = near_copies(20)
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert seen == [0, 1] and sorted((tuple(r) for r in got), key=repr) == brute_components(rows)
+
+
+def test_hot_keys_are_joined_by_broadcast(spark):
+    left = spark.createDataFrame([(i, 5 if i % 3 else i) for i in range(5000)] + [(-1, None)], "i long, k long")
+    right = spark.createDataFrame([(k, f"v{k}") for k in range(0, 5000, 2)] + [(5, "five")], "k long, v string")
+    got = _common.hot_join(left, right, "k", 5001)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted((tuple(r) for r in left.join(right, "k", "left").collect()), key=repr)
+
+
 def test_trees_find_what_all_pairs_find():
     rnd = np.random.default_rng(1)
     base = [rnd.integers(0, 1 << 62, rnd.integers(5, 60)).astype(np.uint64) for _ in range(8)]
     sets = [np.unique(np.concatenate([b[rnd.random(len(b)) > 0.08], rnd.integers(0, 1 << 62, 2).astype(np.uint64)])) for b in base for _ in range(9)]
-    tree = jaccard.Tree(sets, np.arange(len(sets)))
+    tree = jaccard.Tree(sets, np.arange(len(sets)), 1024)
     found = {(min(x, y), max(x, y)) for i, j in jaccard.traverse(tree, tree) for x, y in zip(i.tolist(), j.tolist())}
     true = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if jaccard._linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))}
     assert true and true <= found
