@@ -4,13 +4,14 @@ For every participant of a conversation (every role but the system's) the dialog
 speaker as assistant, all others as named users, system turns as system; the mask spans are the character
 ranges of the assistant's own words and end marks, on which a model is to be trained.
 
-A conversation is cut into parts of consecutive turns, so no task holds an unbounded one; the parts of a
-rendering, in order, are the rendering.  Up to ``MAX_TURNS`` turns and ``MAX_CHARS`` characters it is one
-part.  A longer one is cut at quantiles of ``turn``; where one turn number alone holds more rows than
-that, its rows follow one another by a hash and are cut by ranges of it.
+Turns stand in the order of turn (a null one last), role and text.  A conversation is cut into parts of
+consecutive rows, so no task holds an unbounded one; the parts of a rendering, in order, are the rendering.
+A row belongs to part ``rows before // MAX_TURNS + characters before // MAX_CHARS``, so a conversation of
+fewer rows and characters is one part, which one shuffle puts together.  The rows of the others are sorted
+over all tasks and counted in two levels, within the tasks and over the tasks.
 
-Edge cases: a null role is the speaker ``unknown``; a null text is empty; a null turn comes last; rows of
-equal turn are ordered by role and text, repeated rows stay; a null conv_id is a conversation of its own;
+Edge cases: a null role is the speaker ``unknown``; a null text is empty; a null turn comes last; repeated rows stay;
+a text longer than ``MAX_CHARS`` stays whole; a null conv_id is a conversation of its own;
 a conversation of system turns only has no participant and gives no row; an empty table gives an empty
 result; extra columns are ignored.
 """
@@ -20,11 +21,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import _common
+
 SYSTEM = "system"
 MAX_TURNS, MAX_CHARS = 512, 1_000_000
+#: Long conversations, and their speakers, of which a broadcast is made; beyond that parts are dealt over so many tasks.
+FEW, SALTS = 100_000, 64
 BEGIN, BREAK, END = "<|", "|>\n", "\n<|end|>\n"
 
 
@@ -42,30 +48,68 @@ def render(turns: list[tuple[str, str]], speaker: str) -> tuple[str, list[tuple[
     return "".join(out), spans
 
 
+def _parts(rows: DataFrame) -> DataFrame:
+    """(conv_id, part, turns) of long conversations."""
+    kind = rows.schema["conv_id"].dataType.simpleString()
+    names = [*rows.columns, "slot", "n", "c"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows and characters before each row of a sorted task, within its conversation."""
+        slot, conv, n, c = TaskContext.get().partitionId(), None, 0, 0
+        for batch in _common.slices(batches):
+            before = []
+            for of, text in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                if (of,) != conv:
+                    conv, n, c = (of,), 0, 0
+                before.append((n, c))
+                n, c = n + 1, c + len(text)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([slot] * len(before), pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*before))], names)
+
+    order = ["conv_id", F.col("turn").asc_nulls_last(), "role", "text"]
+    # equal rows are told apart, so that a range of them can be cut
+    sorted_ = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
+    turn = rows.schema["turn"].dataType.simpleString()
+    counted = _common.written(sorted_.mapInArrow(count, f"conv_id {kind}, turn {turn}, role string, text string, slot long, n long, c long"), "turns")
+    sums = counted.groupBy("conv_id", "slot").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c"))
+    before = Window.partitionBy("conv_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    sums = sums.select(F.col("conv_id").alias("of"), F.col("slot").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("chars"))
+    part = F.floor((F.col("rows") + F.col("n")) / MAX_TURNS) + F.floor((F.col("chars") + F.col("c")) / MAX_CHARS)
+    placed = counted.join(sums, (F.col("slot") == F.col("at")) & F.col("conv_id").eqNullSafe(F.col("of")))
+    return placed.groupBy("conv_id", part.alias("part")).agg(_listed())
+
+
+def _listed():
+    return F.sort_array(F.collect_list(F.struct(F.col("turn").isNull().alias("late"), "turn", "role", "text"))).alias("turns")
+
+
+def _spread(parts: DataFrame, speakers: DataFrame) -> DataFrame:
+    """(conv_id, part, speakers, turns): every part once for each speaker of its conversation.  A conversation
+    of many parts is dealt over tasks where the speakers are too many for a broadcast."""
+    speakers = _common.written(speakers.select(F.col("conv_id").alias("of"), F.array("role").alias("speakers")).distinct(), "speakers")
+    same = F.col("conv_id").eqNullSafe(F.col("of"))
+    if speakers.limit(FEW + 1).count() <= FEW:
+        found = parts.join(F.broadcast(speakers), same)
+    else:
+        dealt = speakers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = parts.join(dealt, same & (F.pmod("part", F.lit(SALTS)) == F.col("salt")))
+    return found.select("conv_id", "part", "speakers", "turns")
+
+
 def rotate(turns: DataFrame) -> DataFrame:
     """(conv_id, perspective, part, n_turns, text, mask_spans, n_masked) for every participant and part;
     ``mask_spans`` is written as begin-end pairs joined by commas."""
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.xxhash64(F.col("conv_id").cast("string")))  # joins take nulls by it
-    sizes = rows.groupBy("conv_id", "key").agg(
-        F.greatest(F.ceil(F.count("*") / MAX_TURNS), F.ceil(F.sum(F.length("text")) / MAX_CHARS)).cast("int").alias("k"),
-        F.array_sort(F.collect_set("role")).alias("roles"),
-        F.percentile_approx("turn", [i / 1000 for i in range(1, 1000)], 10_000).alias("cuts"),
-    )
-    sizes = sizes.select(F.col("conv_id").alias("c"), F.col("key").alias("ck"), "k", F.array_remove("roles", SYSTEM).alias("roles"), F.when(F.col("k") > 1, F.array_distinct("cuts")).alias("cuts"))
-    same = (F.col("key") == F.col("ck")) & F.col("conv_id").eqNullSafe(F.col("c"))
-    # a long conversation: by turn (as many cuts as parts), then by hash where a turn holds too much
-    step = F.expr("greatest(1, int(size(cuts) / k))")
-    by_turn = F.when(F.col("k") > 1, F.coalesce(F.expr("int(size(filter(cuts, c -> c < turn)))") / step, F.lit(1001.0)).cast("int")).otherwise(0)
-    placed = rows.join(sizes.drop("roles"), same).withColumn("_p", by_turn)
-    heavy = placed.where("k > 1").groupBy("conv_id", "key", "_p").agg(F.greatest(F.ceil(F.count("*") / (4 * MAX_TURNS)), F.ceil(F.sum(F.length("text")) / (4 * MAX_CHARS))).cast("int").alias("deal")).where("deal > 1")
-    heavy = heavy.select(F.col("conv_id").alias("hc"), F.col("key").alias("hk"), F.col("_p").alias("hp"), "deal")
-    order = F.shiftrightunsigned(F.xxhash64("role", "text"), 1)  # 0 .. 2^63
-    dealt = placed.join(heavy, (F.col("key") == F.col("hk")) & F.col("conv_id").eqNullSafe(F.col("hc")) & (F.col("_p") == F.col("hp")), "left")
-    dealt = dealt.withColumn("_q", F.when(F.col("deal").isNull(), 0).otherwise(F.floor(order / F.lit(float(1 << 63)) * F.col("deal")).cast("int")))
-    by_part = dealt.groupBy("conv_id", "key", "_p", "_q").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").isNull().alias("n"), "turn", "role", "text"))).alias("turns"))
+    sizes = rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c"))
+    long = _common.written(sizes.where((F.col("n") > MAX_TURNS) | (F.col("c") >= MAX_CHARS)).select(F.col("conv_id").alias("of")), "long")
+    some = long.limit(FEW + 1).count()
     kind = turns.schema["conv_id"].dataType.simpleString()
-    whole = by_part.join(sizes.select("c", "ck", "roles"), same).select("conv_id", F.struct("_p", "_q").alias("part"), "roles", F.expr("transform(turns, t -> struct(t.role, t.text))").alias("turns"))
+    same = F.col("conv_id").eqNullSafe(F.col("of"))
+    told = F.broadcast(long) if some <= FEW else long
+    short = rows.join(told, same, "left_anti") if some else rows
+    whole = short.groupBy("conv_id").agg(_listed()).select("conv_id", F.lit(0).cast("long").alias("part"), F.lit(None).cast("array<string>").alias("speakers"), "turns")
+    if some:
+        rest = rows.join(told, same, "left_semi")
+        whole = whole.unionByName(_spread(_parts(rest), rest.where(F.col("role") != SYSTEM)))
     names = ["conv_id", "perspective", "part", "n_turns", "text", "mask_spans", "n_masked"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,12 +117,13 @@ def rotate(turns: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
                 said = [(t["role"], t["text"]) for t in one.column(3)[0].as_py()]
-                part = one.column(1)[0].as_py()
-                for speaker in one.column(2)[0].as_py():
+                speakers = one.column(2)[0].as_py()
+                for speaker in sorted({role for role, _ in said} - {SYSTEM}) if speakers is None else speakers:
                     text, spans = render(said, speaker)
                     yield pa.RecordBatch.from_arrays(
-                        [one.column(0), pa.array([speaker]), pa.array([part["_p"] * 1_000_000 + part["_q"]], pa.int64()), pa.array([len(said)], pa.int64()), pa.array([text]), pa.array([",".join(f"{a}-{b}" for a, b in spans)]), pa.array([sum(b - a for a, b in spans)], pa.int64())],
+                        [one.column(0), pa.array([speaker]), one.column(1), pa.array([len(said)], pa.int64()), pa.array([text]), pa.array([",".join(f"{a}-{b}" for a, b in spans)]), pa.array([sum(b - a for a, b in spans)], pa.int64())],
                         names,
                     )
 
-    return whole.mapInArrow(run, f"conv_id {kind}, perspective string, part long, n_turns long, text string, mask_spans string, n_masked long")
+    shape = f"conv_id {kind}, perspective string, part long, n_turns long, text string, mask_spans string, n_masked long"
+    return whole.select("conv_id", "part", "speakers", F.expr("transform(turns, t -> struct(t.role, t.text))").alias("turns")).mapInArrow(run, shape)

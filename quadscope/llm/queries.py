@@ -133,25 +133,30 @@ GROUP BY a.r, a.doc_id
 """
 
 
-#: The dialogue as each speaker's, with running character offsets.
-OP1 = r"""
+#: The dialogue as each speaker's, with running character offsets inside every part.
+OP1 = rf"""
 WITH turns AS (
   SELECT row_number() OVER () AS id, conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+), counted AS (
+  SELECT *, row_number() OVER w - 1 AS n, sum(length(text)) OVER w - length(text) AS c
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text, id ROWS UNBOUNDED PRECEDING)
+), parts AS (
+  SELECT *, CAST(n // {chat.MAX_TURNS} + c // {chat.MAX_CHARS} AS BIGINT) AS part FROM counted
 ), speakers AS (
   SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'
 ), pieces AS (
-  SELECT s.conv_id, perspective, id, turn, role, text, '<|' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || '|>' || chr(10) AS head
-  FROM speakers s JOIN turns t ON t.conv_id IS NOT DISTINCT FROM s.conv_id
+  SELECT s.conv_id, perspective, part, n, role, text, '<|' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || '|>' || chr(10) AS head
+  FROM speakers s JOIN parts t ON t.conv_id IS NOT DISTINCT FROM s.conv_id
 ), placed AS (
   SELECT *, head || text || chr(10) || '<|end|>' || chr(10) AS piece,
-    sum(length(head) + length(text) + 9) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, role, text, id ROWS UNBOUNDED PRECEDING) AS stop
+    sum(length(head) + length(text) + 9) OVER (PARTITION BY conv_id, perspective, part ORDER BY n ROWS UNBOUNDED PRECEDING) AS stop
   FROM pieces
 )
-SELECT conv_id, perspective, CAST(0 AS BIGINT) AS part, CAST(count(*) AS BIGINT) AS n_turns,
-  string_agg(piece, '' ORDER BY turn NULLS LAST, role, text, id) AS text,
-  coalesce(string_agg(CAST(stop - length(text) - 9 AS BIGINT) || '-' || CAST(stop AS BIGINT), ',' ORDER BY turn NULLS LAST, role, text, id) FILTER (WHERE role = perspective), '') AS mask_spans,
+SELECT conv_id, perspective, part, CAST(count(*) AS BIGINT) AS n_turns,
+  string_agg(piece, '' ORDER BY n) AS text,
+  coalesce(string_agg(CAST(stop - length(text) - 9 AS BIGINT) || '-' || CAST(stop AS BIGINT), ',' ORDER BY n) FILTER (WHERE role = perspective), '') AS mask_spans,
   CAST(coalesce(sum(length(text) + 9) FILTER (WHERE role = perspective), 0) AS BIGINT) AS n_masked
-FROM placed GROUP BY conv_id, perspective
+FROM placed GROUP BY conv_id, perspective, part
 """
 
 
