@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -49,6 +51,7 @@ _INSIDE = re.compile(r"(?<=[^\W\d_])[013457@$!]+(?=[^\W\d_])|(?<!\S)[013457@$]+(
 _SUB = str.maketrans(SUBSTITUTES)
 _CLEAN = {c: " " for c in range(128) if not chr(c).isalpha()} | {c: " " for c in (*range(0x80, 0xC0), 0xD7, 0xF7, *range(0x2000, 0x2070), *range(0x3000, 0x3004))} | {0x2581: " "}
 _FOLD = _CLEAN | {ord(a): b for a, b in HOMOGLYPHS.items()} | {c: chr(c - 0xFF41 + 97) for c in range(0xFF41, 0xFF5B)}
+_LETTERS = {k: v for k, v in _FOLD.items() if v != " "}
 _MARKS = re.compile("[013457@$!]")
 
 
@@ -57,7 +60,7 @@ def fold(text: str | None) -> str:
     text = (text or "").lower()
     plain = text.isascii()
     if not plain:
-        text = text.translate({k: v for k, v in _FOLD.items() if v != " "})
+        text = text.translate(_LETTERS)
     if _MARKS.search(text):
         text = _INSIDE.sub(lambda m: m[0].translate(_SUB), text)
     return f" {text.translate(_CLEAN if plain else _FOLD)} "
@@ -89,15 +92,18 @@ class Lexicon:
 
     def features(self, text: str | None) -> tuple[float, float]:
         folded = fold(text)
-        total, free = 0.0, []
-        hits = []
+        hits, free = [], []
         for end, (n, weight) in self.automaton().iter(folded) if len(self.automaton()) else ():
             if weight is None:
                 free.append((end - n, end))
             else:
                 hits.append((end - n, end, weight))
-        for begin, end, weight in hits:
-            if not any(a <= begin and end <= b for a, b in free):
+        free.sort()
+        begins, ends = [a for a, _ in free], list(accumulate((b for _, b in free), max))
+        total = 0.0
+        for begin, end, weight in hits:  # inside an exception if one that begins before it reaches on to its end
+            k = bisect_right(begins, begin)
+            if not k or ends[k - 1] < end:
                 total += weight
         return math.log1p(total), math.log1p(1000 * total / (len(folded) + 200))
 
