@@ -6,9 +6,13 @@ per batch.  All new words of a batch lie in one flat numpy symbol array; a round
 every adjacent pair, takes the minimum per word, merges its leftmost non-overlapping occurrences at the
 same time and compacts the array, until no pair of the vocabulary remains.
 
-A merge may create a pair of lower rank than the pair just merged.  Then the order of the remaining
-occurrences matters, so for such pieces only the leftmost occurrence of a word is merged in that round;
-the result is that of the sequential algorithm in every case.
+The sequential algorithm merges the pair of least rank, the leftmost of equal ones.  A merge may create a
+pair of lower or equal rank ("hot"), which then comes before the remaining occurrences.  So of occurrences
+that lie near each other all up to the first hot one are merged in a round.  Near is ``NEAR`` = 3 times
+the longest piece: what follows from a merge stays inside a piece that holds the place of the merge, so
+it neither changes nor sees symbols beyond that.  For the same reason a word longer than ``NEAR`` symbols
+need not wait for its least pair: every pair that is least among those near it is merged at once.  The
+number of rounds thus does not grow with the length of a word.
 
 Edge cases: a null text counts as empty; the empty text has no ids and decodes to the empty text;
 repeated rows give repeated results; an empty table gives an empty result; extra columns are ignored.
@@ -98,12 +102,12 @@ class PieceModel:
         self.old: dict[str, tuple[list[int], str]] = {}
 
     def _pairs(self, scores: np.ndarray) -> None:
+        self.near = 3 * max(map(len, self.ids))
         by_score = {s: r for r, s in enumerate(sorted({scores[i] for i in self.ids.values()}, reverse=True))}
         rank = np.full(self.size, _FAR, np.int32)
         for i in self.ids.values():
             rank[i] = by_score[scores[i]]
         keys, ranks, merged = [], [], []
-        risky = np.zeros(self.size, bool)
         for piece, i in self.ids.items():
             for k in range(1, len(piece)):
                 a, b = self.ids.get(piece[:k]), self.ids.get(piece[k:])
@@ -111,13 +115,10 @@ class PieceModel:
                     keys.append(a * self.size + b)
                     ranks.append(rank[i])
                     merged.append(i)
-                    for part in (a, b):
-                        risky[part] |= rank[part] >= rank[i]
         order = np.argsort(keys)
         self.pair_keys = np.array(keys, np.int64)[order]
         self.pair_ranks = np.array(ranks, np.int32)[order]
         self.pair_merged = np.array(merged, np.int32)[order]
-        self.risky = risky
 
     def _surface(self, i: int) -> bytes | None:
         kind = self.kinds[i]
@@ -132,6 +133,15 @@ class PieceModel:
 
     def merge(self, words: list[str]) -> list[list[int]]:
         """Ids of each (escaped, non-empty) word."""
+        out: list[list[int]] = [[]] * len(words)
+        for long in (False, True):
+            which = [i for i, w in enumerate(words) if (len(w) > self.near) == long]
+            if which:
+                for i, ids in zip(which, self._merge([words[i] for i in which], long)):
+                    out[i] = ids
+        return out
+
+    def _merge(self, words: list[str], long: bool) -> list[list[int]]:
         flat = "".join(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         lookup = {c: self.ids.get(c, -1) for c in set(flat)}
@@ -144,29 +154,27 @@ class PieceModel:
         self._look_up(sym, word, np.arange(len(sym)), rank, goal)
         done = []
         while len(sym):
-            fresh = np.empty(len(sym), bool)
-            fresh[0] = True
-            np.not_equal(word[1:], word[:-1], out=fresh[1:])
-            starts = np.flatnonzero(fresh)
-            least = np.minimum.reduceat(rank, starts)
-            least_at = np.repeat(least, np.diff(np.append(starts, len(sym))))
-            stay = least_at != _FAR
-            if not stay.all():
-                done.append((sym[~stay], word[~stay], place[~stay]))
-            hit = np.flatnonzero((rank == least_at) & stay)
+            if long:
+                least = _least_near(rank, self.near, self.near)
+                stay = np.ones(len(sym), bool)
+            else:
+                fresh = np.empty(len(sym), bool)
+                fresh[0] = True
+                np.not_equal(word[1:], word[:-1], out=fresh[1:])
+                starts = np.flatnonzero(fresh)
+                least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(sym))))
+                stay = least != _FAR
+                if not stay.all():
+                    done.append((sym[~stay], word[~stay], place[~stay]))
+            own = (rank == least) & (rank != _FAR)
+            hit = np.flatnonzero(own)
             if not len(hit):
+                if long:
+                    done.append((sym, word, place))
                 break
-            n = np.arange(len(hit))
-            run_start = np.append(True, np.diff(hit) != 1)
-            keep = (n - np.maximum.accumulate(np.where(run_start, n, 0))) & 1 == 0  # leftmost, without overlap
-            risky = self.risky[goal[hit]]
-            if risky.any():
-                first = np.append(True, word[hit[1:]] != word[hit[:-1]])
-                group = np.cumsum(first) - 1
-                alone = np.zeros(group[-1] + 1, bool)
-                alone[group[risky]] = True
-                keep &= first | ~alone[group]
-            hit = hit[keep]
+            # an equal pair on the left that waits for a lesser one comes first
+            held = _least_near(np.where(own, _FAR, rank), self.near, 0)[hit] == rank[hit] if long else np.zeros(len(hit), bool)
+            hit = self._mergeable(hit, held, sym, word, rank, goal)
             sym[hit] = goal[hit]
             stay[hit + 1] = False
             shift = np.cumsum(stay) - 1
@@ -185,6 +193,38 @@ class PieceModel:
                 out[w] = [x for s, p in zip(ids[a:b], place[a:b].tolist()) for x in ([s] if s >= 0 else self.byte_ids[list(odd[p].encode())].tolist())]
         return out
 
+    def _mergeable(self, hit: np.ndarray, held: np.ndarray, sym: np.ndarray, word: np.ndarray, rank: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        """Of the places of least pairs those that are merged in this round: the leftmost without overlap,
+        and of neighbouring ones none after the first that creates a pair of lower or equal rank, and none
+        from the first on that is ``held``."""
+        n = np.arange(len(hit))
+        apart = np.append(True, np.diff(hit) != 1)
+        even = (n - np.maximum.accumulate(np.where(apart, n, 0))) & 1 == 0
+        hit, held = hit[even], held[even]
+        linked = np.append(False, (np.diff(hit) <= self.near) & (word[hit[1:]] == word[hit[:-1]]))
+        if not linked.any():
+            return hit[~held]
+        m, r = goal[hit], rank[hit]
+        before = np.where((hit > 0) & (word[hit - 1] == word[hit]), sym[hit - 1], -1)
+        beside = np.flatnonzero(np.append(False, np.diff(hit) == 2) & linked)
+        before[beside] = m[beside - 1]  # merged by then
+        after_at = np.minimum(hit + 2, len(sym) - 1)
+        after = np.where((hit + 2 < len(sym)) & (word[after_at] == word[hit]), sym[after_at], -1)
+        stops = held | (self._ranks(before, m) <= r) | (self._ranks(m, after) <= r)
+        before_it = np.cumsum(stops) - stops
+        group = np.cumsum(~linked) - 1
+        return hit[(before_it == before_it[~linked][group]) & ~held]
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        out = np.full(len(left), _FAR, np.int32)
+        at = np.flatnonzero((left >= 0) & (right >= 0))
+        key = left[at].astype(np.int64) * self.size + right[at]
+        k = np.searchsorted(self.pair_keys, key)
+        k[k == len(self.pair_keys)] = 0
+        good = self.pair_keys[k] == key
+        out[at[good]] = self.pair_ranks[k[good]]
+        return out
+
     def _look_up(self, sym: np.ndarray, word: np.ndarray, at: np.ndarray, rank: np.ndarray, goal: np.ndarray) -> None:
         """Set rank and merged piece of the pairs that begin at the positions ``at``."""
         rank[at] = _FAR
@@ -267,6 +307,17 @@ class PieceModel:
         return text.decode()
 
 
+def _least_near(rank: np.ndarray, before: int, after: int) -> np.ndarray:
+    """The least rank from ``before`` places before each to ``after`` places after it."""
+    wide = np.concatenate([np.full(before, _FAR, rank.dtype), rank, np.full(after, _FAR, rank.dtype)])
+    span, width = before + after + 1, 1
+    while 2 * width <= span:
+        wide = np.minimum(wide[:-width], wide[width:])
+        width *= 2
+    rest = span - width
+    return np.minimum(wide[: len(wide) - rest], wide[rest:])
+
+
 def _utf8(run: bytes) -> bytes:
     """The run if it is UTF-8, else with U+FFFD for each byte that starts no character."""
     try:
