@@ -1,9 +1,10 @@
 """Token counts by a separator scan of flat token files.
 
 A flat file is nothing but little-endian unsigned 16- or 32-bit token ids, an end-of-document id after
-every document, no index.  Files are read as a stream in path order.  A file is searched block by block
-(vectorised comparison with the separator); documents that cross blocks are stitched by a prefix scan over
-the blocks' open ends, and those that cross files by a prefix scan over one summary row a file.
+every document, no index.  Files are read as a stream in path order; large ones are cut into ranges that
+tasks read one by one.  A range is searched block by block (vectorised comparison with the separator);
+documents that cross blocks are stitched by a prefix scan over the blocks' open ends, and those that cross
+ranges or files by a prefix scan over one summary row a range.
 
 ``write_flat`` makes such files with Spark's own text writer (the row separator is the separator id's
 bytes), so they may lie in any store that Spark reaches.  The rows' ids are written by the same job, so that
@@ -30,6 +31,8 @@ from . import _common, sentencepiece_bpe
 
 #: Token ids searched at a time; slices (of about 1,000,000 bytes of text at most) of a flat file.
 BLOCK, FILE_SLICES = 1 << 20, 32
+#: Bytes of a file that a task holds at most.
+WHOLE = 1 << 26
 SEPARATOR = 2  # </s>, which no text is encoded to
 
 
@@ -113,32 +116,59 @@ def block_scan(tokens: np.ndarray, separator: int, block: int = BLOCK) -> tuple[
     return np.concatenate(lengths), int(after[-1])
 
 
-def scan(spark: SparkSession, path: str, separator: int = SEPARATOR, width: int = 2) -> DataFrame:
-    """(file, place, n_tokens, closed): every document by the file in which it ends, and its place there."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+def read_range(path: str, start: int, size: int) -> bytes:
+    """Bytes of a file in any store that pyarrow knows."""
+    from urllib.parse import unquote, urlparse
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    if urlparse(path).scheme in ("", "file"):
+        store, name = fs.LocalFileSystem(), unquote(urlparse(path).path)
+    else:
+        store, name = fs.FileSystem.from_uri(path)
+    with store.open_input_file(name) as f:
+        return f.read_at(size, start)
+
+
+def scan(spark: SparkSession, path: str, separator: int = SEPARATOR, width: int = 2, whole: int = WHOLE, read=read_range) -> DataFrame:
+    """(file, start, place, n_tokens, closed): every document by the file and the range, from byte ``start``,
+    in which it ends, and its place there.  Files of up to ``whole`` bytes are one range, which Spark reads;
+    larger ones are cut into ranges of that size, which tasks read by ``read(path, start, size)``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    whole -= whole % width
+
+    def told(file: str, start: int, content) -> pa.RecordBatch:
+        lengths, tail = block_scan(np.frombuffer(content, f"<u{width}"), separator)
+        n = len(lengths)
+        # place -1: the range's summary
+        return pa.RecordBatch.from_arrays([pa.array([file] * (n + 1)), pa.array([start] * (n + 1), pa.int64()), pa.array(np.arange(-1, n)), pa.array(np.append(tail, lengths))], ["file", "start", "place", "n_tokens"])
+
+    def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                lengths, tail = block_scan(np.frombuffer(batch.column(1)[i].as_buffer(), f"<u{width}"), separator)
-                n = len(lengths)
-                # place -1: the file's summary
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column(0)[i].as_py()] * (n + 1)), pa.array(np.arange(-1, n)), pa.array(np.append(tail, lengths))],
-                    ["file", "place", "n_tokens"],
-                )
-
-    rows = _common.written(files.mapInArrow(run, "file string, place long, n_tokens long"), "separators")
-    ends = rows.groupBy("file").agg(F.sum(F.when(F.col("place") < 0, F.col("n_tokens"))).alias("tail"), F.count(F.when(F.col("place") >= 0, 1)).alias("docs"))
-    # one row a file, so one task is enough for the scan over files
-    w = Window.orderBy("file")
+                yield told(batch.column(0)[i].as_py(), 0, batch.column(1)[i].as_buffer())
+
+    def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, start, size in zip(*(c.to_pylist() for c in batch.columns)):
+                yield told(file, start, read(file, start, size))
+
+    shape = "file string, start long, place long, n_tokens long"
+    parts = files.where(F.col("length") <= whole).select("path", "content").mapInArrow(at_once, shape)
+    large = files.where(F.col("length") > whole).select("path", "length")
+    ranges = large.select("path", F.explode(F.expr(f"sequence(0L, length - 1, {whole}L)")).alias("start"), "length").select("path", "start", F.least(F.lit(whole), F.col("length") - F.col("start")).alias("size"))
+    parts = parts.unionByName(ranges.repartition("path", "start").mapInArrow(by_range, shape))
+    rows = _common.written(parts, "separators")
+    ends = rows.groupBy("file", "start").agg(F.sum(F.when(F.col("place") < 0, F.col("n_tokens"))).alias("tail"), F.count(F.when(F.col("place") >= 0, 1)).alias("docs"))
+    # a row for each file or ``whole`` bytes of one, so one task is enough for the scan over them
+    w = Window.orderBy("file", "start")
     ends = ends.withColumn("run", F.coalesce(F.sum((F.col("docs") > 0).cast("int")).over(w), F.lit(0)))
-    ends = ends.withColumn("after", F.sum("tail").over(Window.partitionBy("run").orderBy("file")))
+    ends = ends.withColumn("after", F.sum("tail").over(Window.partitionBy("run").orderBy("file", "start")))
     ends = ends.withColumn("before", F.coalesce(F.lag("after").over(w), F.lit(0))).withColumn("last", F.lead("file").over(w).isNull())
-    firsts = ends.select("file", "before")
-    closed = rows.where("place >= 0").join(F.broadcast(firsts), "file") if _few(firsts) else rows.where("place >= 0").join(firsts, "file")
-    closed = closed.select("file", "place", F.when(F.col("place") == 0, F.col("n_tokens") + F.col("before")).otherwise(F.col("n_tokens")).alias("n_tokens"), F.lit(True).alias("closed"))
-    return closed.unionByName(ends.where("last and after > 0").select("file", F.col("docs").alias("place"), F.col("after").alias("n_tokens"), F.lit(False).alias("closed")))
+    firsts = ends.select("file", "start", "before")
+    closed = rows.where("place >= 0").join(F.broadcast(firsts) if _few(firsts) else firsts, ["file", "start"])
+    closed = closed.select("file", "start", "place", F.when(F.col("place") == 0, F.col("n_tokens") + F.col("before")).otherwise(F.col("n_tokens")).alias("n_tokens"), F.lit(True).alias("closed"))
+    return closed.unionByName(ends.where("last and after > 0").select("file", "start", F.col("docs").alias("place"), F.col("after").alias("n_tokens"), F.lit(False).alias("closed")))
 
 
 def _few(files: DataFrame, limit: int = 10_000) -> bool:
@@ -154,9 +184,9 @@ def count(docs: DataFrame, model_path: str) -> DataFrame:
     if "kind" not in spark.read.format("binaryFile").load(path).columns:  # no row, hence no file
         return docs.select("doc_id", F.lit(0).cast("long").alias("n_tokens")).limit(0)
     found = scan(spark, f"{path}/kind=0").withColumn("task", _task(F.col("file")))
-    per_file = found.groupBy("task", "file").count()
-    per_file = per_file.withColumn("skip", F.coalesce(F.sum("count").over(Window.partitionBy("task").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = found.join(per_file.select("file", "skip"), "file").select("task", (F.col("skip") + F.col("place")).alias("nth"), "n_tokens")
+    ranges = found.groupBy("task", "file", "start").count()
+    ranges = ranges.withColumn("skip", F.coalesce(F.sum("count").over(Window.partitionBy("task").orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = found.join(ranges.select("file", "start", "skip"), ["file", "start"]).select("task", (F.col("skip") + F.col("place")).alias("nth"), "n_tokens")
     rows = _ids(docs, path).withColumn("_id", F.lit(True)).join(numbered.withColumn("_count", F.lit(True)), ["task", "nth"], "full")
     torn = F.raise_error(F.concat(F.lit("ids and flat files of task "), F.col("task"), F.lit(" differ at row "), F.col("nth")))
     return rows.select("doc_id", F.when(F.col("_id").isNull() | F.col("_count").isNull(), torn.cast("long")).otherwise(F.col("n_tokens")).alias("n_tokens"))
