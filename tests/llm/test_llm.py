@@ -622,6 +622,23 @@ def test_files_are_stitched(spark, tmp_path):
     assert [(r.n_tokens, r.closed) for r in rows] == [(2, True), (5, True), (0, True), (2, False)]
 
 
+@pytest.mark.parametrize("whole", [5, 6, 40])
+def test_ranges_of_large_files_are_stitched(spark, tmp_path, whole):
+    rnd = np.random.default_rng(3)
+    stream = rnd.choice([2, 5, 6, 7], 400, p=[0.1, 0.3, 0.3, 0.3]).astype("<u2")
+    for k, (a, b) in enumerate(((0, 130), (130, 132), (132, 300), (300, 300), (300, 400))):
+        (tmp_path / f"part-{k:05d}-é x.txt").write_bytes(stream[a:b].tobytes())
+    want = [len(p) for p in "".join("|" if t == 2 else "x" for t in stream).split("|")]
+    rows = token_counts.scan(spark, str(tmp_path), whole=whole).orderBy("file", "start", "place").collect()
+    assert [r.n_tokens for r in rows if r.closed] == want[:-1] and [r.n_tokens for r in rows if not r.closed] == [n for n in want[-1:] if n]
+
+
+def test_a_torn_token_file_is_an_error(spark, tmp_path):
+    (tmp_path / "part-00000.txt").write_bytes(b"\x05\x00\x02")
+    with pytest.raises(Exception, match="buffer size"):
+        token_counts.scan(spark, str(tmp_path))
+
+
 def test_counts(odd, none, some):
     sp = library()
     for df in (odd, some):
@@ -639,8 +656,9 @@ def test_counts_of_rows_without_a_stable_order(spark):
     rows = [(i, "a " * i) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     sp = library()
-    got = token_counts.count(df.mapInArrow(mixed, df.schema), MODEL)
-    assert sorted(tuple(r) for r in got.collect()) == [(i, len(sp.encode(t))) for i, t in rows]
+    wanted = [(i, len(sp.encode(t))) for i, t in rows]
+    for other in (df.mapInArrow(mixed, df.schema), df.dropDuplicates(["doc_id"]), df.orderBy(F.rand(1)), df.where("doc_id < 90").unionByName(df.where("doc_id >= 90"))):
+        assert sorted(tuple(r) for r in token_counts.count(other, MODEL).collect()) == wanted
 
 
 # --- pipeline
