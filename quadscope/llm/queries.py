@@ -172,15 +172,15 @@ lowered AS (
 ), parts AS (
   SELECT DISTINCT license, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT license, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM wanted)
 ), sizes AS (
-  SELECT license, count(*) AS m, CAST(greatest(1, floor(count(*) / 4)) AS BIGINT) AS stride FROM parts GROUP BY license
+  SELECT license, m, span, greatest(1, span // 4) AS stride FROM (SELECT license, count(*) AS m FROM parts GROUP BY license) JOIN (SELECT license, greatest(1, len(w) - 4) AS span FROM wanted) USING (license)
 ), grams AS (
   SELECT r, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT r, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM lowered WHERE len(w) > 0)
 ), hits AS (
-  SELECT g.r, p.license, g.gram, g.pos, z.m, z.stride FROM grams g JOIN parts p ON p.gram = g.gram JOIN sizes z ON z.license = p.license
+  SELECT g.r, p.license, g.gram, g.pos, z.m, z.span, z.stride FROM grams g JOIN parts p ON p.gram = g.gram JOIN sizes z ON z.license = p.license
 ), spread AS (
-  SELECT r, license, gram, m, stride * unnest(range(CAST(greatest(0, floor((pos - m - stride + 2) / stride)) AS BIGINT), CAST(floor(pos / stride) + 1 AS BIGINT))) AS start, pos, stride FROM hits
+  SELECT r, license, gram, m, span, stride * unnest(range(CAST(greatest(0, floor((pos - span - stride + 2) / stride)) AS BIGINT), CAST(floor(pos / stride) + 1 AS BIGINT))) AS start, pos, stride FROM hits
 ), shares AS (
-  SELECT r, license, start, count(DISTINCT gram) / any_value(m) AS share FROM spread WHERE start <= pos AND pos <= start + m + stride - 2 GROUP BY r, license, start
+  SELECT r, license, start, count(DISTINCT gram) / any_value(m) AS share FROM spread WHERE start <= pos AND pos <= start + span + stride - 2 GROUP BY r, license, start
 )
 SELECT doc_id, license, max(share) AS containment, CAST(count(*) AS BIGINT) AS n_windows, CAST(min(start) AS BIGINT) AS first_word
 FROM shares JOIN lowered USING (r) WHERE share >= 0.8 GROUP BY r, doc_id, license

@@ -532,11 +532,45 @@ def test_licenses(spark, odd, none):
     rows = ["", "Released under the MIT License.", f"{noise} {mit.upper()} {noise} {bsd}", " ".join(worn), " ".join(mit.split()[:20]), noise, f"{noise}\nLicensed under CC BY-NC 4.0. {noise}", None]
     got = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
     assert got == {(1, "MIT"), (2, "MIT-text"), (2, "BSD-text"), (3, "MIT-text"), (6, "CC-BY-NC-4.0")}
+    whole = {n: t for n, t in licenses.TEMPLATES.items() if n.endswith(("whole", "notice"))}
+    df = spark.createDataFrame([(n, f"Copyright (c) 2001 {noise[:90]}\n" + t.replace(". ", ".\n * ").title()) for n, t in whole.items()], "doc_id string, text string")
+    found = {(r.doc_id, r.license) for r in licenses.scan(df).collect()}
+    assert {(n, n) for n in whole} <= found and ("ISC-whole", "MIT-whole") not in found
     assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0
     twice = spark.createDataFrame([(1, rows[1]), (1, rows[1])], "doc_id long, text string")
     assert licenses.scan(twice).count() == 2
 
 
+def test_licenses_of_repeated_grams_and_in_blocks(spark, monkeypatch):
+    """A template that repeats itself spans more words than it has distinct grams."""
+    again = " ".join(["a b c d e f g"] * 6 + [f"w{i}" for i in range(12)])
+    noise = " ".join(f"n{i}" for i in range(60))
+    df = spark.createDataFrame([(0, f"{noise} {again} {noise}"), (1, f"{noise} x y z u v {noise}"), (2, noise)], "doc_id long, text string")
+    for most in (licenses.MAX_GRAMS, 1):
+        monkeypatch.setattr(licenses, "MAX_GRAMS", most)
+        got = {(r.doc_id, r.license, r.containment) for r in licenses.scan(df, {"again": again, "short": "x y z u v", "": " ", "other": "not there at all today"}).collect()}
+        assert got == {(0, "again", 1.0), (1, "short", 1.0)}
+
+
+def test_licenses_are_sqls(spark, monkeypatch):
+    import duckdb
+
+    rnd = random.Random(6)
+    rows = []
+    for i in range(60):
+        words = [f"n{rnd.randrange(99)}" for _ in range(rnd.randrange(120))]
+        for t in rnd.sample(sorted(licenses.TEMPLATES.values()), 2):
+            part = [w if rnd.random() > 0.02 else "changed" for w in t.split()]
+            words[(at := rnd.randrange(len(words) + 1)) : at] = part[: rnd.choice([len(part), len(part), len(part) * 9 // 10])]
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    key = lambda r: (r[0], r[1], round(r[2], 9), *r[3:])
+    got = sorted(key(r) for r in licenses.scan(df).collect())
+    assert len(got) > 60 and got == sorted(key(r) for r in con.sql(queries.op7_sql()).fetchall())
+
+
 def test_license_plan_has_no_python(some):
     plan = licenses.scan(some)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|MapInArrow", plan)
