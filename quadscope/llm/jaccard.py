@@ -613,7 +613,8 @@ def _across_chunks(blocks: DataFrame, roots: DataFrame, docs: DataFrame, seed: i
 
         yield from _link_rows(found())
 
-    texts = _sets(docs, rows.select("ref").distinct(), seed)
+    # written, since a join of the union of both sides would scan the table once for each
+    texts = _common.written(_sets(docs, rows.select("ref").distinct(), seed), "texts")
     return rows.join(texts, "ref").select("x", "y", "side", "ref", "root", "text").repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(run, "u long, v long")
 
 
