@@ -3,7 +3,8 @@
 Folding lower-cases, maps homoglyphs to Latin letters and, inside words, digits and signs that stand for
 letters (1d10t, $cum); everything that is no letter becomes a space.  Lexicon entries are whole words or
 beginnings of words, each with a weight; a hit inside an exception phrase does not count.  Entries and
-weights (log odds) are learned from a bounded sample of labelled rows, beside a small seed.  The sum of
+weights (log odds, of texts that hold an entry and of its occurrences, the lesser of both) are learned from
+a bounded sample of labelled rows, beside a small seed.  The sum of
 weights, and that sum normalised by the length of the text, go through a logistic curve fitted on the
 same sample.
 
@@ -42,8 +43,8 @@ SEED = ("disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "
 EXCEPTIONS = ("clown fish", "class clown", "trash bin", "trash can", "trash bag", "idiot proof", "pond scum")
 #: Labelled rows at most that the lexicon and the curve are learned from.
 SAMPLE = 6_000
-#: Chance at which a gram of texts without bearing would be in toxic ones only.
-CHANCE = 1e-6
+#: Chance at which some gram of all would be in so many texts, and in toxic ones only, without bearing on it.
+CHANCE = 1e-2
 SEED_WEIGHT, LEAST_WEIGHT, MOST_ENTRIES = 3.0, 2.0, 5_000
 PREFIXES = range(4, 9)
 
@@ -113,42 +114,53 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + x * a + y * b))))
 
 
-def _grams(folded: str) -> set[str]:
-    words = {w for w in folded.split() if len(w) > 2}
-    return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in PREFIXES if k < len(w)}
+def _grams(folded: str) -> Counter:
+    """How often each word, and each beginning of one, occurs; under the empty text the number of words."""
+    words = folded.split()
+    out = Counter({"": len(words)})
+    for w, n in Counter(w for w in words if len(w) > 2).items():
+        out[f" {w} "] += n
+        for k in PREFIXES:
+            if k < len(w):
+                out[f" {w[:k]}"] += n
+    return out
 
 
 def learn(docs: DataFrame, labels: DataFrame, train, limit: int = SAMPLE) -> Lexicon:
-    """A lexicon from about ``limit`` labelled rows with ``train`` true."""
+    """A lexicon from about ``limit`` labelled rows with ``train`` true.  Repeated texts are counted once."""
     sample = _common.written(_common.labelled_sample(docs, labels, "toxic", train, limit), "toxicity")
+    once = sample.select("text", (F.col("label") == 1).alias("bad")).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = (Counter(), Counter())
+        texts, times = (Counter(), Counter()), (Counter(), Counter())
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by[int(label == 1)].update(_grams(fold(text)))
-        grams = [g for g, n in by[1].items()] + [g for g in by[0] if g not in by[1]]
-        for part in _common.chunked(grams, 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([by[1][g] for g in part], pa.int64()), pa.array([by[0][g] for g in part], pa.int64())], ["gram", "pos", "neg"])
-
-    sizes = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
-    pos, neg = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
+            for text, bad in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = _grams(fold(text))
+                texts[bad].update(found.keys())
+                times[bad].update(found)
+        for part in _common.chunked([*texts[1], *(g for g in texts[0] if g not in texts[1])], 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[g] for g in part], pa.int64()) for c in (texts[1], texts[0], times[1], times[0]))], ["gram", "pos", "neg", "pos_times", "neg_times"])
+
+    columns = ["pos", "neg", "pos_times", "neg_times"]
+    counted = once.mapInArrow(count, "gram string, pos long, neg long, pos_times long, neg_times long").groupBy("gram").agg(*[F.sum(c).alias(c) for c in columns])
+    counted = _common.written(counted, "grams")
+    grams, all_ = counted.count(), counted.where("gram = ''").first()
     entries = {f" {w} ": SEED_WEIGHT for w in SEED}
-    if pos and neg:
-        weight = F.log((F.col("pos") + 0.5) / (pos + 1.0)) - F.log((F.col("neg") + 0.5) / (neg + 1.0))
-        counted = sample.select("text", "label").mapInArrow(count, "gram string, pos long, neg long").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        # so often, and in such texts only, that chance hardly ever makes it
-        least = max(math.ceil(math.log(CHANCE) / math.log(pos / (pos + neg))), pos // 60)
-        ranked = counted.where((F.col("pos") >= least) & (F.col("neg") * 20 <= F.col("pos"))).withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT)
+    if all_ is not None and all_.pos and all_.neg:
+        odds = lambda p, n, of_p, of_n: F.log((F.col(p) + 0.5) / (of_p + 1.0)) - F.log((F.col(n) + 0.5) / (of_n + 1.0))
+        weight = F.least(odds("pos", "neg", all_.pos, all_.neg), odds("pos_times", "neg_times", all_.pos_times, all_.neg_times))
+        # in so many toxic texts that chance hardly makes it with any of all grams
+        least = max(math.ceil(math.log(CHANCE / grams) / math.log(all_.pos / (all_.pos + all_.neg))), all_.pos // 60)
+        ranked = counted.where((F.col("gram") != "") & (F.col("pos") >= least)).withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT)
         rows = ranked.orderBy(F.desc("pos"), F.length("gram"), "gram").limit(4 * MOST_ENTRIES).collect()
         taken: set[str] = set()
         for r in rows:  # a beginning stands for all that begin with it
             bare = r.gram.rstrip()
             if len(taken) < MOST_ENTRIES and not any(bare[:k] in taken for k in range(4, len(bare) + 1)):
-                entries.pop(f"{bare} ", None)
                 entries[r.gram] = r.weight
                 if not r.gram.endswith(" "):
                     taken.add(bare)
+        entries = {e: w for e, w in entries.items() if not e.endswith(" ") or not any(e[:k] in taken for k in range(4, len(e)))}
     lexicon = Lexicon(sorted(entries.items()))
 
     def measure(batches):
@@ -156,7 +168,7 @@ def learn(docs: DataFrame, labels: DataFrame, train, limit: int = SAMPLE) -> Lex
             found = [lexicon.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64()), batch.column(1)], ["a", "b", "label"])
 
-    if pos and neg:
+    if all_ is not None and all_.pos and all_.neg:
         rows = sample.select("text", "label").mapInArrow(measure, "a double, b double, label int").collect()
         x = np.array([(1.0, r.a, r.b) for r in rows])
         lexicon.curve = _logistic(x, np.array([float(r.label == 1) for r in rows]))
@@ -180,7 +192,7 @@ def score(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # MOST_ENTRIES bounds it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _common.slices(batches):
+        for batch in _common.slices(batches, 1_000_000):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shared.value.score(t) for t in batch.column(1).to_pylist()], pa.float64())], [key, "score"])
 
     return picked.mapInArrow(run, f"{key} {picked.schema[key].dataType.simpleString()}, score double")
@@ -192,7 +204,7 @@ def remove(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFra
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in _common.slices(batches):
+        for batch in _common.slices(batches, 1_000_000):
             yield batch.filter(pa.array([shared.value.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
