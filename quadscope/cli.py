@@ -10,9 +10,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import __version__
 from .plans import void
 from .plans.profile import Options, Profile
-from .sources import rdf_text
+from .sources import rdf_text, store
 
 
 def parser() -> argparse.ArgumentParser:
@@ -32,6 +33,11 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--data-release-version")
     out.add_argument("--data-release-date")
     out.add_argument("--tables", help="also write the seven tables as parquet below this folder")
+    out.add_argument("--graph-title", nargs=2, action="append", default=[], metavar=("GRAPH", "TITLE"))
+    out.add_argument("--graph-license", nargs=2, action="append", default=[], metavar=("GRAPH", "IRI"))
+    out.add_argument("--distinct-terms", help="keep the distinct terms of every graph below this folder, and reuse those that are there")
+    out.add_argument("-f", "--force", action="store_true", help="count all graphs anew")
+    out.add_argument("-V", "--version", action="version", version=f"%(prog)s {__version__}")
     out.add_argument("-a", "--add-void-graph-to-store", metavar="PATH", help="put the document into the parquet quads at PATH, and count it")
     for name in ("find-distinct-classes", "count-distinct-subjects", "count-distinct-objects", "find-predicates", "count-detailed-void-statistics"):
         out.add_argument(f"--{name}", **flag)
@@ -46,9 +52,10 @@ def run(spark: SparkSession, args: Sequence[str]) -> DataFrame:
     options = Options(
         void_iri=a.iri_of_void, endpoint=a.endpoint, graphs=a.graphs.split(",") if a.graphs else None, class_filter=a.class_filter, title=a.title, version=a.data_release_version, release_date=a.data_release_date,
         find_classes=a.find_distinct_classes, count_subjects=a.count_distinct_subjects, count_objects=a.count_distinct_objects, find_predicates=a.find_predicates, detailed=a.count_detailed_void_statistics,
+        graph_titles=dict(a.graph_title), graph_licenses=dict(a.graph_license),
     )
     quads = rdf_text.read_jdbc(spark, a.jdbc, a.jdbc_table, {k: v for k, v in (("user", a.user), ("password", a.password)) if v}) if a.jdbc else rdf_text.read(spark, a.source)
-    rows = _profiled(quads, options, a.tables)
+    rows = _profiled(quads, options, a.tables, a.distinct_terms, a.force)
     if a.add_void_graph_to_store:  # the document counts itself
         options = Options(**{**options.__dict__, "graphs": [*options.graphs, options.void_iri] if options.graphs else None})
         rows = _profiled(quads.unionByName(void.as_quads(rows, options.void_iri)), options, a.tables)
@@ -57,13 +64,12 @@ def run(spark: SparkSession, args: Sequence[str]) -> DataFrame:
     return rows
 
 
-def _profiled(quads: DataFrame, options: Options, tables: str | None) -> DataFrame:
-    profile = Profile(quads, options).persist()
+def _profiled(quads: DataFrame, options: Options, tables: str | None, terms: str | None = None, force: bool = False) -> DataFrame:
+    profile = Profile(quads, options, terms, force).persist()
     try:
         if tables:
             profile.write(tables)
-        rows = void.statements(profile.materialise(), options)
-        return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+        return store.written(void.statements(profile.materialise(), options), "statements")
     finally:
         profile.unpersist()
 

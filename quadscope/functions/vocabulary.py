@@ -18,6 +18,7 @@ PAV = "http://purl.org/pav/"
 DCTERMS = "http://purl.org/dc/terms/"
 SH = "http://www.w3.org/ns/shacl#"
 
+# Terms of those vocabularies.
 TYPE = RDF + "type"
 NAMED_INDIVIDUAL = OWL + "NamedIndividual"
 LANG_STRING = RDF + "langString"
@@ -26,7 +27,7 @@ STRING = XSD + "string"
 #: Graphs that a quad store keeps for itself.
 SYSTEM_GRAPHS = ("http://www.openlinksw.com/schemas/virtrdf#", "http://www.w3.org/ns/ldp#", "urn:activitystreams-owl:map", "urn:core:services:sparql")
 
-#: Prefixes of a written document.
+#: Prefixes of a written document.
 PREFIXES = {"rdf": RDF, "rdfs": RDFS, "owl": OWL, "xsd": XSD, "void": VOID, "void_ext": VOID_EXT, "sd": SD, "formats": FORMATS, "pav": PAV, "dcterms": DCTERMS}
 
 

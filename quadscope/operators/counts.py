@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import SYSTEM_GRAPHS
+from ..sources import store
 
 MEASURES = ("iri_subjects", "bnode_subjects", "iri_objects", "bnode_objects", "literal_objects")
+KEPT = "measure string, term binary, g string"
 
 
 def graphs(quads: DataFrame) -> DataFrame:
@@ -54,36 +56,58 @@ def per_predicate(quads: DataFrame, role: str) -> DataFrame:
     return quads.groupBy("g", "p").agg(F.count_distinct(term).alias("n"))
 
 
-def term_graphs(quads: DataFrame) -> DataFrame:
-    """(measure, term, gs): the graphs that every distinct term occurs in, by role and kind.  It is the
-    mergeable form of the distinct counts: counts of any set of graphs follow from it."""
-    roles = F.array(
-        F.struct(F.concat(F.col("s_kind"), F.lit("_subjects")).alias("measure"), F.col("s").alias("term")),
-        F.struct(F.concat(F.col("o_kind"), F.lit("_objects")).alias("measure"), F.col("o_key").alias("term")),
-    )
-    return quads.select("g", F.explode(roles).alias("t")).groupBy("t.measure", "t.term").agg(F.collect_set("g").alias("gs"))
-
-
-def graph_summary(quads: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+def distinct_by_graph(quads: DataFrame, subjects: bool = True, objects: bool = True) -> DataFrame:
+    """(g, measure, term): the distinct terms of every graph by role and kind, each named by 128 bits.  It
+    is the mergeable form of the distinct counts: those of any set of graphs follow from it."""
+    name = lambda c: F.unhex(F.md5(c))
+    roles = []
+    if subjects:
+        roles.append(F.struct(F.concat("s_kind", F.lit("_subjects")).alias("measure"), name("s").alias("term")))
+    if objects:
+        roles.append(F.struct(F.concat("o_kind", F.lit("_objects")).alias("measure"), name("o_key").alias("term")))
+    if not roles:
+        return quads.select("g", F.lit("").alias("measure"), F.lit(b"").alias("term")).where(F.lit(False))
+    return quads.select("g", F.explode(F.array(*roles)).alias("t")).select("g", "t.measure", "t.term").distinct()
+
+
+def kept_terms(quads: DataFrame, path: str, force: bool = False) -> DataFrame:
+    """``distinct_by_graph``, kept at ``path`` (parquet by graph): graphs that stand there already are not
+    looked at again unless ``force`` is set."""
+    spark = quads.sparkSession
+    if force or not store.exists(spark, path):
+        distinct_by_graph(quads).write.mode("overwrite").partitionBy("g").parquet(path)
+    else:
+        new = quads.join(spark.read.schema(KEPT).parquet(path).select("g").distinct(), "g", "left_anti")
+        distinct_by_graph(new).write.mode("append").partitionBy("g").parquet(path)
+    return spark.read.schema(KEPT).parquet(path).join(graphs(quads), "g", "left_semi")
+
+
+def graph_summary(quads: DataFrame, terms: DataFrame | None = None, subjects: bool = True, objects: bool = True, classes: bool = True) -> DataFrame:
     """(g, is_default, triples, five distinct counts, subjects, objects, classes): a row a graph, and the
-    row of all graphs together (g null).
+    row of all graphs together (g null).  What is switched off is not computed and counts as 0.
 
-    Distinct terms are made once, with their graphs; the counts of each graph and of the union are both
-    aggregates of that, so nothing is expanded by measure and grouping set.
+    The distinct terms of every graph are made once; the counts of each graph, and those of the union after
+    a second distinct of fewer rows, are aggregates of them.
     """
     from .schema import typed
 
-    terms = term_graphs(quads) if terms is None else terms
-    each = F.transform("gs", lambda g: F.struct(g.alias("g"), F.lit(0).alias("is_default")))
-    spread = terms.select("measure", F.explode(F.concat(each, F.array(F.struct(F.lit(None).cast("string").alias("g"), F.lit(1).alias("is_default"))))).alias("x"))
-    counts = spread.groupBy("x.g", "x.is_default").agg(*[F.count(F.when(F.col("measure") == m, 1)).alias(m) for m in MEASURES])
     triples = quads.groupBy("g").agg(F.count("*").alias("triples"))
-    both = triples.withColumn("is_default", F.lit(0)).unionByName(triples.agg(F.sum("triples").alias("triples")).select(F.lit(None).cast("string").alias("g"), "triples", F.lit(1).alias("is_default")))
-    classes = typed(quads).groupBy("g").agg(F.count_distinct("class").alias("classes")).withColumn("d", F.lit(0))
-    rows = both.join(counts.withColumnsRenamed({"g": "cg", "is_default": "cd"}), F.col("g").eqNullSafe(F.col("cg")) & (F.col("is_default") == F.col("cd")), "left").drop("cg", "cd")
-    rows = rows.join(classes.withColumnRenamed("g", "kg"), (F.col("g") == F.col("kg")) & (F.col("is_default") == F.col("d")), "left")
-    zero = {m: F.coalesce(m, F.lit(0)) for m in (*MEASURES, "triples", "classes")}
-    rows = rows.withColumns(zero).withColumns({"subjects": F.col("iri_subjects") + F.col("bnode_subjects"), "objects": F.col("iri_objects") + F.col("bnode_objects") + F.col("literal_objects")})
+    none = F.lit(None).cast("string").alias("g")
+    rows = triples.withColumn("is_default", F.lit(0)).unionByName(triples.agg(F.sum("triples").alias("triples")).select(none, "triples", F.lit(1).alias("is_default")))
+    if subjects or objects:
+        terms = distinct_by_graph(quads, subjects, objects) if terms is None else terms
+        each = [F.count(F.when(F.col("measure") == m, 1)).alias(m) for m in MEASURES]
+        counts = terms.groupBy("g").agg(*each).withColumn("d", F.lit(0)).unionByName(terms.select("measure", "term").distinct().agg(*each).select(none, *MEASURES, F.lit(1).alias("d")))
+        rows = rows.join(counts.withColumnRenamed("g", "cg"), F.col("g").eqNullSafe(F.col("cg")) & (F.col("is_default") == F.col("d")), "left").drop("cg", "d")
+        on = [m for m in MEASURES if m.endswith("_subjects") and subjects or m.endswith("_objects") and objects]
+    else:
+        on = []
+    if classes:
+        held = typed(quads).groupBy("g").agg(F.count_distinct("class").alias("classes"))
+        rows = rows.join(held.withColumnRenamed("g", "kg"), F.col("g") == F.col("kg"), "left").drop("kg")
+    number = lambda c, there: (F.coalesce(c, F.lit(0)) if there else F.lit(0)).cast("long")
+    rows = rows.withColumns({"triples": number("triples", True), "classes": number("classes", classes)} | {m: number(m, m in on) for m in MEASURES})
+    rows = rows.withColumns({"subjects": F.col("iri_subjects") + F.col("bnode_subjects"), "objects": F.col("iri_objects") + F.col("bnode_objects") + F.col("literal_objects")})
     return rows.select("g", "is_default", "triples", *MEASURES, "subjects", "objects", "classes")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vocabulary import TYPE
 from .schema import by_object, class_triples, typed
 
 
@@ -32,5 +33,13 @@ def links_three_graphs(quads: DataFrame, source: str, linking: str, target: str)
     """Links where the subject's type, the link and the object's type stand in three given graphs:
     (class, p, tclass, triples)."""
     one = quads.where(F.col("g") == linking).withColumn("g", F.lit(source))
-    rows = class_triples(quads.where(F.col("g") == source).where("p = 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type'").unionByName(one.where("p <> 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type'")))
+    rows = class_triples(quads.where((F.col("g") == source) & (F.col("p") == TYPE)).unionByName(one.where(F.col("p") != TYPE)))
     return links(rows, quads.where(F.col("g") == target)).groupBy("class", "p", "tclass").agg(F.sum("triples").alias("triples"))
+
+
+def property_classes(quads: DataFrame, keep=None) -> DataFrame:
+    """(g, p, class, triples): the classes, in the same graph, of what a property points at, whatever the
+    class of its subjects.  Triples are summed by object before the join."""
+    to = typed(quads, keep).select("g", F.col("s").alias("o"), "class")
+    rows = quads.where((F.col("p") != TYPE) & (F.col("o_kind") != "literal")).groupBy("g", "p", "o").agg(F.count("*").alias("m"))
+    return rows.join(to, ["g", "o"]).groupBy("g", "p", "class").agg(F.sum("m").alias("triples"))

@@ -39,10 +39,10 @@ def class_member_count(quads: DataFrame, name: str) -> DataFrame:
 
 
 def class_triples(quads: DataFrame, keep=None) -> DataFrame:
-    """(g, class, p, o, o_kind, o_dt): every triple but the types, once for each class of its subject.  It
-    is the join under all class-property operators; persist it where several of them run."""
-    rest = quads.where(F.col("p") != TYPE).select("g", "s", "p", "o", "o_kind", "o_dt")
-    return typed(quads, keep).join(rest, ["g", "s"]).select("g", "class", "p", "o", "o_kind", "o_dt")
+    """(g, s, class, p, o, o_kind, o_dt, o_key): every triple but the types, once for each class of its
+    subject.  It is the join under all class-property operators; persist it where several of them run."""
+    rest = quads.where(F.col("p") != TYPE).select("g", "s", "p", "o", "o_kind", "o_dt", "o_key")
+    return typed(quads, keep).join(rest, ["g", "s"]).select("g", "s", "class", "p", "o", "o_kind", "o_dt", "o_key")
 
 
 def class_property(rows: DataFrame) -> DataFrame:
@@ -50,6 +50,14 @@ def class_property(rows: DataFrame) -> DataFrame:
     return rows.groupBy("g", "class", "p").agg(F.count("*").alias("triples"))
 
 
+def class_property_stats(rows: DataFrame) -> DataFrame:
+    """Of ``class_triples``: (g, class, p, triples, subjects, objects).  Rows of a subject lie together
+    after the join on it, so only the distinct objects are shuffled."""
+    by_subject = rows.groupBy("g", "s", "class", "p").agg(F.count("*").alias("m")).groupBy("g", "class", "p").agg(F.sum("m").alias("triples"), F.count("*").alias("subjects"))
+    objects = rows.select("g", "class", "p", "o_key").distinct().groupBy("g", "class", "p").agg(F.count("*").alias("objects"))
+    return by_subject.join(objects, ["g", "class", "p"])
+
+
 def class_property_datatypes(rows: DataFrame) -> DataFrame:
     """Of ``class_triples``: (g, class, p, datatype, triples), over all literals."""
     return rows.where(F.col("o_kind") == "literal").groupBy("g", "class", "p", F.col("o_dt").alias("datatype")).agg(F.count("*").alias("triples"))

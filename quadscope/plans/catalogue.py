@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.vocabulary import NAMED_INDIVIDUAL, RDF, SD, SYSTEM_GRAPHS, TYPE, VOID, VOID_EXT, XSD
 from ..operators import counts, links, schema
-from ..sources.mapping import BASE, quads, quads_sql
+from ..sources import mapping, store
+from ..sources.mapping import BASE, quads_sql
 from . import views, void
 from .profile import Options, Profile
 
 GRAPH, CLASS = BASE + "graph/", BASE + "class/"
-OPTIONS = Options(title="Mapped tables", version="1", release_date="2024-06-06")
+OPTIONS = Options(title="Mapped tables", version="1", release_date="2024-06-06", graph_titles={GRAPH + "geo": "Places", GRAPH + "docs": "What was written"}, graph_licenses={GRAPH + "geo": "https://creativecommons.org/publicdomain/zero/1.0/"})
 PREFIXES = [("ex", BASE), ("class", CLASS), ("graph", GRAPH), ("xsd", XSD), ("rdf", RDF)]
 KNOWN = [CLASS + "Nation", CLASS + "Customer", CLASS + "Part"]
 FILTER = f"not startswith(class, '{CLASS}e') and class <> '{NAMED_INDIVIDUAL}'"
@@ -25,7 +26,7 @@ SQL: dict[str, str] = {}
 
 _BASE_SQL = f"""quads AS ({quads_sql()}),
 typed AS (SELECT g, s, o AS class FROM quads WHERE p = '{TYPE}' AND o_kind = 'iri'),
-ct AS (SELECT t.g, t.class, q.p, q.o, q.o_kind, q.o_dt FROM typed t JOIN quads q ON q.g = t.g AND q.s = t.s WHERE q.p <> '{TYPE}')"""
+ct AS (SELECT t.g, t.s, t.class, q.p, q.o, q.o_kind, q.o_dt, q.o_key FROM typed t JOIN quads q ON q.g = t.g AND q.s = t.s WHERE q.p <> '{TYPE}')"""
 _COUNTS_SQL = """count(DISTINCT CASE WHEN s_kind = 'iri' THEN s END) AS iri_subjects, count(DISTINCT CASE WHEN s_kind = 'bnode' THEN s END) AS bnode_subjects,
 count(DISTINCT CASE WHEN o_kind = 'iri' THEN o END) AS iri_objects, count(DISTINCT CASE WHEN o_kind = 'bnode' THEN o END) AS bnode_objects,
 count(DISTINCT CASE WHEN o_kind = 'literal' THEN o_key END) AS literal_objects"""
@@ -36,7 +37,8 @@ _TABLES_SQL = f"""summary AS (
   LEFT JOIN (SELECT g, count(DISTINCT class) AS classes FROM typed GROUP BY g) k ON k.g = c.g),
 predicates AS (SELECT g, p, count(*) AS triples, count(DISTINCT s_kind || s) AS subjects, count(DISTINCT o_key) AS objects FROM quads GROUP BY g, p),
 classes AS (SELECT g, class, count(*) AS entities FROM typed GROUP BY g, class),
-class_property AS (SELECT g, class, p, count(*) AS triples FROM ct GROUP BY g, class, p),
+class_property AS (SELECT g, class, p, count(*) AS triples, count(DISTINCT s) AS subjects, count(DISTINCT o_key) AS objects FROM ct GROUP BY g, class, p),
+property_classes AS (SELECT q.g, q.p, t.class, count(*) AS triples FROM quads q JOIN typed t ON t.g = q.g AND t.s = q.o WHERE q.p <> '{TYPE}' AND q.o_kind <> 'literal' GROUP BY q.g, q.p, t.class),
 datatypes AS (SELECT g, class, p, o_dt AS datatype, count(*) AS triples FROM ct WHERE o_kind = 'literal' GROUP BY g, class, p, o_dt),
 individuals AS (SELECT c.g, c.class, p, o AS individual, count(*) AS triples FROM ct c JOIN typed t ON t.g = c.g AND t.s = c.o WHERE t.class = '{NAMED_INDIVIDUAL}' AND o_kind = 'iri' GROUP BY c.g, c.class, p, o),
 links AS (SELECT c.g, c.class, p, t.g AS tg, t.class AS tclass, count(*) AS triples FROM ct c JOIN typed t ON t.s = c.o WHERE o_kind <> 'literal' GROUP BY c.g, c.class, p, t.g, t.class)"""
@@ -61,7 +63,7 @@ def query(name: str, sql: str | None = None, *more: str):
 
 
 def _over(name: str, fn: Callable[[DataFrame], DataFrame], sql: str | None, *more: str) -> None:
-    query(name, sql, *more)(lambda spark, d: fn(quads(spark, d)))
+    query(name, sql, *more)(lambda spark, d: fn(mapping.stored(spark, d)))
 
 
 _over("graphs", counts.graphs, "SELECT DISTINCT g FROM quads")
@@ -85,7 +87,10 @@ _over("classes", schema.classes, "SELECT g, class, count(*) AS entities FROM typ
 _over("distinct_classes", schema.distinct_classes, "SELECT DISTINCT g, class FROM typed")
 _over("class_member_count", lambda q: schema.class_member_count(q, CLASS + "Customer"), f"SELECT g, class, count(*) AS entities FROM typed WHERE class = '{CLASS}Customer' GROUP BY g, class")
 _over("classes_excluding", lambda q: schema.classes(q, FILTER), f"SELECT g, class, count(*) AS entities FROM typed WHERE NOT starts_with(class, '{CLASS}e') AND class <> '{NAMED_INDIVIDUAL}' GROUP BY g, class")
-_over("class_property", lambda q: schema.class_property(schema.class_triples(q)), "SELECT * FROM class_property", _TABLES_SQL)
+_over("mapped_quads", lambda q: q, "SELECT * FROM quads")
+_over("class_property", lambda q: schema.class_property(schema.class_triples(q)), "SELECT g, class, p, triples FROM class_property", _TABLES_SQL)
+_over("class_property_stats", lambda q: schema.class_property_stats(schema.class_triples(q)), "SELECT * FROM class_property", _TABLES_SQL)
+_over("property_classes", links.property_classes, "SELECT * FROM property_classes", _TABLES_SQL)
 _over("class_property_datatypes", lambda q: schema.class_property_datatypes(schema.class_triples(q)), "SELECT * FROM datatypes", _TABLES_SQL)
 _over("named_individuals", lambda q: schema.named_individuals(schema.class_triples(q), q), "SELECT * FROM individuals", _TABLES_SQL)
 _over("links_same_graph_one", lambda q: links.links_same_graph(schema.class_triples(q), q, CLASS + "Region"), f"SELECT g, class, p, tclass, triples FROM links WHERE tg = g AND tclass = '{CLASS}Region'", _TABLES_SQL)
@@ -118,31 +123,28 @@ def bitmap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["bitmap_merge"] = "SELECT CAST(count(DISTINCT l_partkey) AS BIGINT) AS n FROM lineitem"
 
 
-_STATEMENTS: dict[tuple[str, str], tuple[list, object]] = {}
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statements about the mapped tables, kept in the shared folder; the tables' files name them."""
 
-
-def _gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The statements about the mapped tables, which a score of queries read: made once a session, from
-    tables that are made once.  They describe the schema, so they are few."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STATEMENTS:
-        profile = Profile(quads(spark, sf_dir), OPTIONS).persist()
+    def make() -> DataFrame:
+        profile = Profile(mapping.stored(spark, sf_dir), OPTIONS).persist()
         try:
-            found = void.statements(profile.materialise(), OPTIONS)
-            _STATEMENTS.clear()
-            _STATEMENTS[key] = (found.collect(), found.schema)
+            return store.written(void.statements(profile.materialise(), OPTIONS), "statements").coalesce(1)
         finally:
             profile.unpersist()
-    rows, kind = _STATEMENTS[key]
-    return spark.createDataFrame(rows, kind).coalesce(1)
+
+    made_of = (repr(OPTIONS), repr(void.rules(OPTIONS)), repr(mapping.MAPPING), store.files_of(spark, mapping.paths(sf_dir)))
+    return store.kept(spark, "statements", made_of, make)
 
 
 def _view(name: str, fn, sql: str) -> None:
-    query(name, sql, *_st())(lambda spark, d: fn(_gathered(spark, d), spark.createDataFrame(PREFIXES, "prefix string, namespace string")))
+    query(name, sql, *_st())(lambda spark, d: fn(_statements(spark, d), spark.createDataFrame(PREFIXES, "prefix string, namespace string")))
 
 
-query("void_statements", "SELECT s, p, o FROM st", *_st())(lambda spark, d: _gathered(spark, d).select("s", "p", "o"))
-_view("void_roundtrip", lambda st, _: void.read_class_properties(st), "SELECT g, class, p, triples FROM class_property")
+query("void_statements", "SELECT s, p, o FROM st", *_st())(lambda spark, d: _statements(spark, d).select("s", "p", "o"))
+_view("void_roundtrip", lambda st, _: void.read_class_properties(st), "SELECT * FROM class_property")
+_view("void_read_property_classes", lambda st, _: void.read_property_classes(st), "SELECT * FROM property_classes")
+_view("void_read_graph_notes", lambda st, _: void.read_graph_notes(st), "SELECT g, {} FROM summary WHERE is_default = 0".format(", ".join("CASE g {} END AS {}".format(" ".join(f"WHEN '{g}' THEN '{v}'" for g, v in notes.items()), name) for name, notes in (("title", OPTIONS.graph_titles), ("license", OPTIONS.graph_licenses)))))
 _view("void_read_graphs", lambda st, _: void.read_graphs(st), "SELECT g, nullif(triples, 0) AS triples, nullif(classes, 0) AS classes, {} FROM summary WHERE is_default = 0".format(", ".join(f"nullif({c}, 0) AS {c}" for c in ("literal_objects", "iri_objects", "bnode_objects", "iri_subjects", "bnode_subjects", "objects", "subjects"))))
 _view("void_read_properties", lambda st, _: void.read_properties(st), "SELECT * FROM predicates")
 _view("void_read_classes", lambda st, _: void.read_classes(st), "SELECT * FROM classes")
@@ -184,7 +186,7 @@ edges AS (SELECT label || '-' || grp AS from_id, to_label || '-' || grp AS to_id
 
 
 def _diagram(name: str, fn, sql: str) -> None:
-    query(name, sql, *_st(), _CP, _TO, _LS, _ROWS, _VIS)(lambda spark, d: fn(_gathered(spark, d), spark.createDataFrame(PREFIXES, "prefix string, namespace string")))
+    query(name, sql, *_st(), _CP, _TO, _LS, _ROWS, _VIS)(lambda spark, d: fn(_statements(spark, d), spark.createDataFrame(PREFIXES, "prefix string, namespace string")))
 
 
 _diagram("schema_triples", lambda st, _: views.schema_triples(st), "SELECT DISTINCT * FROM (SELECT subject_class, prop, object_class, object_datatype FROM cp LEFT JOIN (SELECT pp, object_class, NULL AS object_datatype FROM tc UNION ALL SELECT pp, NULL, object_datatype FROM td) x ON x.pp = cp.pp UNION ALL SELECT subject_class, prop, object_class, NULL FROM ls)")
@@ -218,5 +220,5 @@ SQL["prefixes"] = "SELECT * FROM (VALUES {}) t(prefix, ns) ORDER BY prefix".form
 @query("void_self_count", "SELECT g, count(*) AS triples FROM quads GROUP BY g UNION ALL SELECT '" + OPTIONS.void_iri + "', count(*) FROM st", *_st())
 def void_self_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples of all graphs when the document is a graph beside the data."""
-    data = quads(spark, sf_dir)
-    return counts.triples_per_graph(data.unionByName(void.as_quads(_gathered(spark, sf_dir), OPTIONS.void_iri)))
+    data = mapping.stored(spark, sf_dir)
+    return counts.triples_per_graph(data.unionByName(void.as_quads(_statements(spark, sf_dir), OPTIONS.void_iri)))

@@ -17,6 +17,7 @@ from .profile import Options
 
 #: Result formats of a service.
 RESULT_FORMATS = ("SPARQL_Results_CSV", "SPARQL_Results_JSON", "N-Triples", "RDF_XML", "SPARQL_Results_TSV", "Turtle", "SPARQL_Results_XML")
+#: Properties of the distinct counts.
 _COUNTS = {
     "literal_objects": VOID_EXT + "distinctLiterals",
     "iri_objects": VOID_EXT + "distinctIRIReferenceObjects",
@@ -30,7 +31,7 @@ _COUNTS = {
 
 @dataclass(frozen=True)
 class Rule:
-    """``s`` and ``o`` are SQL; ``kind`` iri, long, string or date."""
+    """``s`` and ``o`` are SQL; ``kind`` iri, bnode, long, string or date."""
 
     table: str
     s: str
@@ -38,6 +39,7 @@ class Rule:
     o: str
     kind: str = "iri"
     when: str = "true"
+    s_kind: str = "iri"
 
 
 def _q(text: str) -> str:
@@ -45,7 +47,7 @@ def _q(text: str) -> str:
 
 
 def rules(options: Options) -> list[Rule]:
-    base = _q(options.base)
+    base, plain = _q(options.base), _q(options.void_iri)  # no # is put before the names of sub-partitions
 
     def graph(g: str = "g") -> str:
         return f"{base} || '_graph_' || {local_sql(g)} || '!' || {h8_sql(g)}"
@@ -55,7 +57,10 @@ def rules(options: Options) -> list[Rule]:
 
     def sub(g: str, *xs: str) -> str:
         hashed = " || '_' || ".join([g, *xs]) + " || '_'"
-        return f"{base} || {local_sql(g)} || '!' || {h8_sql(hashed)} || '!-' || " + " || '-' || ".join(local_sql(x) for x in xs)
+        return f"{plain} || {local_sql(g)} || '!' || {h8_sql(hashed)} || '!-' || " + " || '-' || ".join(local_sql(x) for x in xs)
+
+    def value(x: str) -> str:
+        return sub("g", "class", "p", x) if options.values_by_class else sub("g", "p", x)
 
     def linkset(*xs: str) -> str:
         hashed = " || '_' || ".join(xs) + " || '_'"
@@ -65,6 +70,7 @@ def rules(options: Options) -> list[Rule]:
     default, collection = _q(options.base + "sparql-default-graph"), _q(options.base + "sparql-graph-collection")
     iri = lambda s: _q(s)
     named, whole = "is_default = 0", "is_default = 1"
+    to_class = "'links_' || {}".format(h8_sql("g || '_' || p || '_' || class || '_'"))
     out = [
         Rule("summary", service, TYPE, iri(SD + "Service"), when=whole),
         Rule("summary", service, SD + "defaultDataset", dataset, when=whole),
@@ -96,6 +102,8 @@ def rules(options: Options) -> list[Rule]:
         Rule("summary", graph(), VOID + "triples", "triples", "long", named),
         Rule("summary", graph(), VOID + "classes", "classes", "long", f"{named} and classes > 0"),
         *(Rule("summary", graph(), p, c, "long", f"{named} and {c} > 0") for c, p in _COUNTS.items()),
+        *(Rule("summary", "g", DCTERMS + "title", _q(text), "string", f"{named} and g = {_q(g)}") for g, text in sorted(options.graph_titles.items())),
+        *(Rule("summary", "g", DCTERMS + "license", _q(iri_), "iri", f"{named} and g = {_q(g)}") for g, iri_ in sorted(options.graph_licenses.items())),
         # properties of a graph
         Rule("predicates", graph(), VOID + "propertyPartition", part("g", "p")),
         Rule("predicates", part("g", "p"), TYPE, iri(VOID + "Dataset")),
@@ -103,6 +111,15 @@ def rules(options: Options) -> list[Rule]:
         Rule("predicates", part("g", "p"), VOID + "triples", "triples", "long"),
         Rule("predicates", part("g", "p"), VOID + "distinctSubjects", "subjects", "long"),
         Rule("predicates", part("g", "p"), VOID + "distinctObjects", "objects", "long"),
+        # the classes that they point at, with a link set each
+        Rule("property_classes", part("g", "p"), VOID + "classPartition", sub("g", "p", "class")),
+        Rule("property_classes", sub("g", "p", "class"), VOID + "class", "class"),
+        Rule("property_classes", sub("g", "p", "class"), VOID + "entities", "triples", "long"),
+        Rule("property_classes", to_class, TYPE, iri(VOID + "Linkset"), s_kind="bnode"),
+        Rule("property_classes", to_class, VOID + "linkPredicate", "p", s_kind="bnode"),
+        Rule("property_classes", to_class, VOID + "subjectsTarget", part("g", "p"), s_kind="bnode"),
+        Rule("property_classes", to_class, VOID + "objectsTarget", sub("g", "p", "class"), s_kind="bnode"),
+        Rule("property_classes", to_class, VOID + "entities", "triples", "long", s_kind="bnode"),
         # classes of a graph, and their properties
         Rule("classes", graph(), VOID + "classPartition", part("g", "class")),
         Rule("classes", part("g", "class"), TYPE, iri(VOID + "Dataset")),
@@ -112,14 +129,16 @@ def rules(options: Options) -> list[Rule]:
         Rule("class_property", sub("g", "class", "p"), TYPE, iri(VOID + "Dataset")),
         Rule("class_property", sub("g", "class", "p"), VOID + "property", "p"),
         Rule("class_property", sub("g", "class", "p"), VOID + "triples", "triples", "long"),
+        Rule("class_property", sub("g", "class", "p"), VOID + "distinctSubjects", "subjects", "long"),
+        Rule("class_property", sub("g", "class", "p"), VOID + "distinctObjects", "objects", "long"),
         # what class properties point at
-        Rule("datatypes", sub("g", "class", "p"), VOID_EXT + "datatypePartition", sub("g", "class", "p", "datatype")),
-        Rule("datatypes", sub("g", "class", "p", "datatype"), TYPE, iri(VOID + "Dataset")),
-        Rule("datatypes", sub("g", "class", "p", "datatype"), VOID_EXT + "datatype", "datatype"),
-        Rule("datatypes", sub("g", "class", "p", "datatype"), VOID + "triples", "triples", "long"),
-        Rule("individuals", sub("g", "class", "p"), VOID_EXT + "objectPartition", sub("g", "class", "p", "individual")),
-        Rule("individuals", sub("g", "class", "p", "individual"), VOID_EXT + "object", "individual"),
-        Rule("individuals", sub("g", "class", "p", "individual"), VOID + "triples", "triples", "long"),
+        Rule("datatypes", sub("g", "class", "p"), VOID_EXT + "datatypePartition", value("datatype")),
+        Rule("datatypes", value("datatype"), TYPE, iri(VOID + "Dataset")),
+        Rule("datatypes", value("datatype"), VOID_EXT + "datatype", "datatype"),
+        Rule("datatypes", value("datatype"), VOID + "triples", "triples", "long"),
+        Rule("individuals", sub("g", "class", "p"), VOID_EXT + "objectPartition", value("individual")),
+        Rule("individuals", value("individual"), VOID_EXT + "object", "individual"),
+        Rule("individuals", value("individual"), VOID + "triples", "triples", "long"),
         Rule("links", sub("g", "class", "p"), VOID + "classPartition", sub("g", "class", "p", "tclass"), when="tg = g"),
         Rule("links", sub("g", "class", "p", "tclass"), TYPE, iri(VOID + "Dataset"), when="tg = g"),
         Rule("links", sub("g", "class", "p", "tclass"), VOID + "class", "tclass", when="tg = g"),
@@ -138,6 +157,8 @@ def rules(options: Options) -> list[Rule]:
     return out
 
 
+#: Statements of a Turtle document at most.
+MOST = 1_000_000
 _DATATYPES = {"long": XSD + "long", "string": STRING, "date": XSD + "date"}
 
 
@@ -150,9 +171,9 @@ def statements(tables: dict[str, DataFrame], options: Options) -> DataFrame:
     for name, group in by.items():
         made = []
         for r in group:
-            kind = "iri" if r.kind == "iri" else "literal"
+            kind = r.kind if r.kind in ("iri", "bnode") else "literal"
             datatype = f"'{_DATATYPES[r.kind]}'" if r.kind in _DATATYPES else "cast(null as string)"
-            made.append(f"case when {r.when} then struct({r.s} as s, 'iri' as s_kind, {_q(r.p)} as p, cast({r.o} as string) as o, '{kind}' as o_kind, {datatype} as o_dt) end")
+            made.append(f"case when {r.when} then struct({r.s} as s, '{r.s_kind}' as s_kind, {_q(r.p)} as p, cast({r.o} as string) as o, '{kind}' as o_kind, {datatype} as o_dt) end")
         rows = tables[name].select(F.explode(F.expr(f"array({', '.join(made)})")).alias("t")).where("t is not null").select("t.*")
         out = rows if out is None else out.unionByName(rows)
     return out.distinct()
@@ -165,7 +186,10 @@ def statements_sql(options: Options) -> str:
 
 
 def document(rows: DataFrame) -> str:
-    """Turtle text, made on the driver: a document describes a schema, not data."""
+    """Turtle text, made on the driver: a document describes a schema, not data.  More than ``MOST``
+    statements are refused; N-Triples take any number."""
+    if rows.limit(MOST + 1).count() > MOST:
+        raise ValueError(f"more than {MOST} statements; write N-Triples (nt), json or parquet")
     return rdf_text.turtle(((r.s, r.s_kind, r.p, r.o, r.o_kind, r.o_dt, None) for r in rows.toLocalIterator()), PREFIXES)
 
 
@@ -201,10 +225,19 @@ def _pairs(rows: DataFrame, p: str, s: str, o: str) -> DataFrame:
 
 
 def read_class_properties(rows: DataFrame) -> DataFrame:
-    """(g, class, p, triples) of a document's statements."""
+    """(g, class, p, triples, subjects, objects) of a document's statements."""
     found = _pairs(rows, SD + "graph", "g", "gn").join(_pairs(rows, VOID + "classPartition", "gn", "cp"), "gn").join(_pairs(rows, VOID + "class", "cp", "class"), "cp")
     found = found.join(_pairs(rows, VOID + "propertyPartition", "cp", "pp"), "cp").join(_pairs(rows, VOID + "property", "pp", "p"), "pp")
-    return found.join(_pairs(rows, VOID + "triples", "pp", "n"), "pp", "left").select("g", "class", "p", F.col("n").cast("long").alias("triples"))
+    for c, p in (("triples", "triples"), ("subjects", "distinctSubjects"), ("objects", "distinctObjects")):
+        found = found.join(_pairs(rows, VOID + p, "pp", "_n").select("pp", F.col("_n").cast("long").alias(c)), "pp", "left")
+    return found.select("g", "class", "p", "triples", "subjects", "objects")
+
+
+def read_property_classes(rows: DataFrame) -> DataFrame:
+    """(g, p, class, triples): the classes that the properties of a graph point at."""
+    found = _pairs(rows, SD + "graph", "g", "gn").join(_pairs(rows, VOID + "propertyPartition", "gn", "pp"), "gn").join(_pairs(rows, VOID + "property", "pp", "p"), "pp")
+    found = found.join(_pairs(rows, VOID + "classPartition", "pp", "cp"), "pp").join(_pairs(rows, VOID + "class", "cp", "class"), "cp")
+    return found.join(_pairs(rows, VOID + "entities", "cp", "n"), "cp", "left").select("g", "p", "class", F.col("n").cast("long").alias("triples"))
 
 
 def read_links(rows: DataFrame) -> DataFrame:
@@ -231,6 +264,14 @@ def read_properties(rows: DataFrame) -> DataFrame:
     return found.select("g", "p", "triples", "subjects", "objects")
 
 
+def read_graph_notes(rows: DataFrame) -> DataFrame:
+    """(g, title, license) of every named graph; a licence may stand at the graph or its description."""
+    found = _pairs(rows, SD + "graph", "g", "gn")
+    notes = rows.where(F.col("p").isin(DCTERMS + "title", DCTERMS + "license")).groupBy(F.col("s").alias("node")).agg(*[F.min(F.when(F.col("p") == DCTERMS + k, F.col("o"))).alias(k) for k in ("title", "license")])
+    own, other = notes.select(F.col("node").alias("g"), "title", F.col("license").alias("_own")), notes.select(F.col("node").alias("gn"), F.col("license").alias("_other"))
+    return found.join(own, "g", "left").join(other, "gn", "left").select("g", "title", F.coalesce("_own", "_other").alias("license"))
+
+
 def read_classes(rows: DataFrame) -> DataFrame:
     """(g, class, entities)."""
     found = _pairs(rows, SD + "graph", "g", "gn").join(_pairs(rows, VOID + "classPartition", "gn", "cp"), "gn").join(_pairs(rows, VOID + "class", "cp", "class"), "cp")
@@ -246,11 +287,14 @@ def read_datatypes(rows: DataFrame) -> DataFrame:
 
 
 def read_service(rows: DataFrame) -> dict[str, str | None]:
-    """Endpoint, title, version, release date and total of the service, as one small row."""
+    """Endpoint, title, version, release date, and the total and distinct counts of the default graph, as
+    one small row."""
     service = rows.where((F.col("p") == TYPE) & (F.col("o") == SD + "Service")).select(F.col("s").alias("service"))
     found = service.join(_pairs(rows, SD + "endpoint", "service", "endpoint"), "service", "left").join(_pairs(rows, DCTERMS + "title", "service", "title"), "service", "left")
     found = found.join(_pairs(rows, SD + "defaultDataset", "service", "dataset"), "service", "left").join(_pairs(rows, PAV + "version", "dataset", "version"), "dataset", "left").join(_pairs(rows, DCTERMS + "issued", "dataset", "issued"), "dataset", "left")
     found = found.join(_pairs(rows, SD + "defaultGraph", "dataset", "dg"), "dataset", "left").join(_pairs(rows, VOID + "triples", "dg", "triples"), "dg", "left")
+    for p, c in _COUNTS.items():
+        found = found.join(_pairs(rows, c, "dg", p), "dg", "left")
     row = found.orderBy("service").first()
     return row.asDict() if row else {}
 
@@ -258,7 +302,8 @@ def read_service(rows: DataFrame) -> dict[str, str | None]:
 # --- conformance
 
 
-#: (shape, how its nodes are found: the class of, the objects of or the subjects of, property, least, most).
+#: Fixed values of the published shapes: how a shape's nodes are found (members of a class, objects of a
+#: property), and (property, least, most).
 _ONCE = [(p, 0, 1) for p in (VOID + "triples", VOID + "distinctObjects", VOID + "distinctSubjects", VOID_EXT + "distinctLiterals", VOID_EXT + "distinctBlankNodeObjects", VOID_EXT + "distinctIRIReferenceSubjects", VOID_EXT + "distinctBlankNodeSubjects")]
 SHAPES = {
     "service": (("class", SD + "Service"), [(SD + "endpoint", 1, 1), (SD + "resultFormat", 1, None), (SD + "supportedLanguage", 1, None), (SD + "defaultDataset", 0, 1)]),

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import LANG_STRING, NAMED_INDIVIDUAL, STRING, TYPE, XSD
+from . import store
 
 BASE = "http://example.org/"
 COLUMNS = ("g", "s", "s_kind", "p", "o", "o_kind", "o_dt", "o_lang", "o_key")
@@ -93,16 +94,42 @@ def quads(spark: SparkSession, sf_dir: str, mapping: tuple[Mapped, ...] = MAPPIN
     out = None
     for m in mapping:
         rows = spark.read.parquet(f"{sf_dir}/{m.table}.parquet")
-        parts = []
-        for v in m.values:
-            one = "struct({})".format(", ".join(f"{sql} as {name}" for name, sql in _fields(v).items()))
-            parts.append(f"case when {v.when} then {one} end" if v.when else one)
-        rows = rows.select(F.lit(f"{BASE}graph/{m.graph}").alias("g"), F.expr(m.s).alias("s"), F.lit(m.s_kind).alias("s_kind"), F.explode(F.expr(f"array({', '.join(parts)})")).alias("t")).where("t is not null").select("g", "s", "s_kind", "t.*")
-        rows = rows if m.unique else rows.distinct()
+        rows = _unique(rows, m) if m.unique else _distinct(rows, m)
+        rows = rows.select(F.lit(f"{BASE}graph/{m.graph}").alias("g"), "s", F.lit(m.s_kind).alias("s_kind"), "t.*")
         out = rows if out is None else out.unionByName(rows)
     return out.select(*COLUMNS)
 
 
+def _unique(rows: DataFrame, m: Mapped) -> DataFrame:
+    parts = []
+    for v in m.values:
+        one = "struct({})".format(", ".join(f"{sql} as {name}" for name, sql in _fields(v).items()))
+        parts.append(f"case when {v.when} then {one} end" if v.when else one)
+    return rows.select(F.expr(m.s).alias("s"), F.explode(F.expr(f"array({', '.join(parts)})")).alias("t")).where("t is not null")
+
+
+def _distinct(rows: DataFrame, m: Mapped) -> DataFrame:
+    """Only subject, number of the property and value are shuffled; the other terms follow from these."""
+    parts = []
+    for k, v in enumerate(m.values):
+        one = f"struct({k} as k, {v.sql} as o, {v.language or 'cast(null as string)'} as l)"
+        parts.append(f"case when {v.when} then {one} end" if v.when else one)
+    few = rows.select(F.expr(m.s).alias("s"), F.explode(F.expr(f"array({', '.join(parts)})")).alias("x")).where("x is not null").select("s", "x.k", "x.o", "x.l").distinct()
+    own = [Value(v.p, "o", v.kind, v.datatype, None, "l" if v.language else None) for v in m.values]
+    cases = " ".join("when {} then struct({})".format(k, ", ".join(f"{sql} as {name}" for name, sql in _fields(v).items())) for k, v in enumerate(own))
+    return few.select("s", F.expr(f"case k {cases} end").alias("t"))
+
+
+def paths(sf_dir: str, mapping: tuple[Mapped, ...] = MAPPING) -> list[str]:
+    return sorted({f"{sf_dir}/{m.table}.parquet" for m in mapping})
+
+
+def stored(spark: SparkSession, sf_dir: str, mapping: tuple[Mapped, ...] = MAPPING) -> DataFrame:
+    """The quads, kept as parquet by graph in the shared folder; the tables' files name them."""
+    made_of = (COLUMNS, quads_sql(mapping), store.files_of(spark, paths(sf_dir, mapping)))
+    return store.kept(spark, "quads", made_of, lambda: quads(spark, sf_dir, mapping), ("g",)).select(*COLUMNS)
+
+
 def quads_sql(mapping: tuple[Mapped, ...] = MAPPING) -> str:
     """The same as one SELECT."""
     parts = []

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.vocabulary import LANG_STRING, STRING, TYPE, XSD, key_of
 from .mapping import COLUMNS
 
+#: Bytes of Turtle or TriG that the driver parses at most.
+MOST_BYTES = 64 << 20
 SCHEMA = "g string, s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string"
 
 
@@ -27,38 +29,58 @@ def as_quads(terms: DataFrame) -> DataFrame:
     return rows.withColumn("o_key", key_of(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang"))).select(*COLUMNS).dropDuplicates(["g", "s", "s_kind", "p", "o_key"])
 
 
-_SUBJECT = r"(?:<([^>]*)>|_:(\S+))"
-_LINE = rf"^\s*{_SUBJECT}\s+<([^>]*)>\s+(?:<([^>]*)>|_:([^\s.]\S*)|\"((?:[^\"\\]|\\.)*)\"(?:\^\^<([^>]*)>|@([A-Za-z][A-Za-z0-9-]*))?)\s*(?:<([^>]*)>|_:(\S+))?\s*\.\s*(?:#.*)?$"
+_IRI, _NODE = r"<([^>\x00-\x20]*)>", r"_:([^\s\x1f]*[^\s\x1f.])"
+_SUBJECT = rf"(?:{_IRI}|{_NODE})"
+#: Groups: subject (2), property, object (2), its quotes, text, datatype, language, graph (2).
+_LINE = rf"^\s*{_SUBJECT}\s*{_IRI}\s*(?:{_IRI}|{_NODE}|(\")((?:[^\"\\]|\\.)*)\"(?:\^\^{_IRI}|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?)\s*(?:{_IRI}|{_NODE})?\s*\.\s*(?:#.*)?$"
+#: What the line becomes: the groups in this order, the text last, since only it may hold the sign between them.
+_ORDER = (1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 7)
+_BETWEEN = "\x1f"
+_ESCAPES = r"(\\[uU][dD][89abAB][0-9a-fA-F]{2}\\[uU][dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\.|[^\\]+)"
+#: Escapes of one character.
+_SHORT = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f"}
 
 
 def _unescaped(text):
-    """Escapes of a literal.  Code points beyond the basic plane need \\U; both forms go through from_json."""
-    long = F.regexp_replace(text, r"\\U0000([0-9A-Fa-f]{4})", r"\\u$1")
-    json = F.concat(F.lit('["'), F.regexp_replace(F.regexp_replace(long, r"\\'", "'"), "\t", r"\\t"), F.lit('"]'))
-    return F.when(F.contains(text, F.lit("\\")), F.element_at(F.from_json(json, "array<string>"), 1)).otherwise(text)
+    """A text without escapes: short ones, \\u (pairs of surrogates too) and \\U of any plane."""
+
+    def plain(t):
+        sign = F.substring(t, 2, 1)
+        short = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in _SHORT.items() for x in pair]), sign), sign)
+        pair = F.decode(F.unhex(F.concat(F.substring(t, 3, 4), F.substring(t, 9, 4))), "UTF-16BE")
+        four = F.decode(F.unhex(F.substring(t, 3, 4)), "UTF-16BE")
+        eight = F.decode(F.unhex(F.substring(t, 3, 8)), "UTF-32")
+        return F.when(~t.startswith("\\"), t).when(F.length(t) == 12, pair).when(F.length(t) == 10, eight).when(F.length(t) == 6, four).otherwise(short)
+
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_ESCAPES), F.lit(1)), plain), "")).otherwise(text)
 
 
 def read_lines(spark: SparkSession, path: str, graph: str | None = None, strict: bool = True) -> DataFrame:
     """N-Triples or N-Quads, any size.  A line that is neither, nor empty, nor a comment is an error, or
     with ``strict`` false left out."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
-    part = lambda i: F.nullif(F.regexp_extract("value", _LINE, i), F.lit(""))
-    fits = F.col("value").rlike(_LINE)
+    # one match of the line, whatever its number of terms
+    parts = F.split(F.regexp_replace("value", _LINE, _BETWEEN.join(f"${k}" for k in _ORDER) + _BETWEEN), _BETWEEN, len(_ORDER))
+    lines = lines.select("file", "value", parts.alias("x"))
+    fits = F.size("x") == len(_ORDER)
     if strict:
         lines = lines.where(F.when(fits, True).otherwise(F.raise_error(F.concat(F.lit("not a statement: "), F.col("value"))).cast("boolean")))
     else:
         lines = lines.where(fits)
+    part = lambda k: F.nullif(F.col("x")[_ORDER.index(k)], F.lit(""))
+    iri = lambda k: _unescaped(part(k))
     node = lambda label: F.concat(F.substring(F.md5("file"), 1, 8), F.lit("_"), label)
-    literal = F.col("value").rlike(_LINE.replace(r"(?:<([^>]*)>|_:([^\s.]\S*)|", "(?:"))
+    literal, last = part(6).isNotNull(), F.col("x")[len(_ORDER) - 1]
+    text = _unescaped(F.substring(last, F.lit(1), F.length(last) - 1))  # the sign after it
     rows = lines.select(
-        F.coalesce(part(9), F.concat(F.lit("_:"), node(part(10))), F.lit(graph) if graph else F.col("file")).alias("g"),
-        F.coalesce(part(1), node(part(2))).alias("s"),
+        F.coalesce(iri(10), F.concat(F.lit("_:"), node(part(11))), F.lit(graph) if graph else F.col("file")).alias("g"),
+        F.coalesce(iri(1), node(part(2))).alias("s"),
         F.when(part(1).isNotNull(), "iri").otherwise("bnode").alias("s_kind"),
-        part(3).alias("p"),
-        F.when(literal, _unescaped(F.regexp_extract("value", _LINE, 6))).otherwise(F.coalesce(part(4), node(part(5)))).alias("o"),
+        iri(3).alias("p"),
+        F.when(literal, text).otherwise(F.coalesce(iri(4), node(part(5)))).alias("o"),
         F.when(literal, "literal").when(part(4).isNotNull(), "iri").otherwise("bnode").alias("o_kind"),
-        part(7).alias("o_dt"),
-        part(8).alias("o_lang"),
+        iri(8).alias("o_dt"),
+        part(9).alias("o_lang"),
     )
     return as_quads(rows)
 
@@ -260,12 +282,17 @@ def parse(text: str, graph: str = "file:", scope: str = "b") -> list[tuple]:
 
 
 def read_document(spark: SparkSession, path: str, graph: str | None = None) -> DataFrame:
-    """A small Turtle or TriG document, read through Spark, parsed on the driver (it is refused over 64 MB)."""
+    """Small Turtle or TriG documents, read through Spark, parsed on the driver.  One of more than
+    ``MOST_BYTES``, or many that come to more, is refused: such data belong into N-Quads."""
     import hashlib
 
-    found = spark.read.format("binaryFile").load(path).where("length <= 67108864").select("path", "content").collect()
-    if not found:
-        raise ValueError(f"no document of at most 64 MB at {path}")
+    files = spark.read.format("binaryFile").load(path)
+    size = files.agg(F.sum("length"), F.count("*")).first()
+    if not size[1]:
+        raise ValueError(f"no document at {path}")
+    if size[0] > MOST_BYTES:
+        raise ValueError(f"{size[0]} bytes of Turtle or TriG at {path} are more than {MOST_BYTES}; convert them to N-Triples or N-Quads")
+    found = files.select("path", "content").collect()
     rows = [row for f in found for row in parse(bytes(f.content).decode(), graph or f.path, hashlib.md5(f.path.encode()).hexdigest()[:8])]
     return as_quads(spark.createDataFrame(rows, SCHEMA))
 

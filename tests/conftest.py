@@ -1,5 +1,7 @@
 import os
+import shutil
 import sys
+import tempfile
 
 import pytest
 
@@ -13,10 +15,12 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     from pyspark.sql import SparkSession
 
+    shared = tempfile.mkdtemp(prefix="quadscope-tests-")
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", "file://" + shared)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -25,6 +29,7 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+    shutil.rmtree(shared, ignore_errors=True)
 
 
 @pytest.fixture(scope="session")
