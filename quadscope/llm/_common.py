@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import islice
 
@@ -9,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import store
+from ..sources.store import discard, written  # noqa: F401
+
 #: Code points handled at a time inside one Python task; bounds its memory.
 SLICE_CHARS = 4_000_000
 
@@ -19,28 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared folder that the cluster names in spark.checkpoint.dir."""
-    import uuid
-
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; only where it is unset (as in tests) a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.gettempdir() + "/quadscope-shared"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it again."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return f"{store.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def hot_join(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:

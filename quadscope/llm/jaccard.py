@@ -626,7 +626,7 @@ def components(links: DataFrame) -> DataFrame:
         got = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
         if got == state or got["n"] == 0:
             return edges.select(F.col("u").alias("ref"), F.col("v").alias("root"))
-        state = got
+        state, before = got, edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = _common.hot_join(both, least, "u", 2 * got["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -634,6 +634,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _common.hot_join(large, least, "u", 2 * got["n"]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         edges = _common.written(small, "stars")
+        _common.discard(before, large)
 
 
 def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -653,7 +654,9 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         raise RuntimeError("sets of equal digests under every seed")
     n = rows.count()
     sketch = _sketch(scanned.where("part is not null").select("part", "counts"))
-    blocks = _common.written(_blocks(_common.written(_memberships(_prefixes(docs, sketch, n, seed)), "members")), "blocks")
+    members = _common.written(_memberships(_prefixes(docs, sketch, n, seed)), "members")
+    blocks = _common.written(_blocks(members), "blocks")
+    _common.discard(members)
     links = _common.written(_within_chunks(blocks, _sets(docs, blocks.select("ref").distinct(), seed)), "within")
     roots = components(links)
     if not blocks.where("chunks > 1").isEmpty():
@@ -662,7 +665,9 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rooted = _common.written(classes.select("ref", "first").join(roots, "ref", "left").select("ref", F.coalesce("root", "ref").alias("root"), "first"), "rooted")
     firsts = rooted.groupBy("root").agg(F.min("first").alias("_f"))
     placed = _common.hot_join(rooted.select("ref", "root"), firsts, "root", n).select("ref", F.col("_f.doc_id").alias("component"), F.col("_f").alias("first"))
-    return rows.select("doc_id", "n", "ref"), _common.written(placed, "placed")
+    placed = _common.written(placed, "placed")
+    _common.discard(blocks, links, classes, rooted)
+    return rows.select("doc_id", "n", "ref"), placed
 
 
 def join(docs: DataFrame) -> DataFrame:

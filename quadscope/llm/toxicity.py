@@ -172,6 +172,7 @@ def learn(docs: DataFrame, labels: DataFrame, train, limit: int = SAMPLE) -> Lex
         rows = sample.select("text", "label").mapInArrow(measure, "a double, b double, label int").collect()
         x = np.array([(1.0, r.a, r.b) for r in rows])
         lexicon.curve = _logistic(x, np.array([float(r.label == 1) for r in rows]))
+    _common.discard(sample, counted)
     return lexicon
 
 
