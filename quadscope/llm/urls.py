@@ -1,8 +1,8 @@
 """URL filters: gradient-boosted trees on lexical features, beside host and path rules.
 
 Features of an url: its length, labels of the host, depth of the path, share of digits, entropy of its
-characters, number of parameters, and suffix statistics (how often host suffixes of one and two labels
-and the path's extension were blocked in training, smoothed).  The trees are trained from labelled urls:
+characters, number of parameters, and suffix statistics (how often host suffixes of one to three labels,
+the path's extension and its first step were blocked in training, smoothed).  The trees are trained from labelled urls:
 those that a rule decides.  The rule of longest text that fits decides a page; the trees decide the rest.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: Labelled urls at most (in the mean) that the trees are trained on; trees, their depth, bins of a feature.
 SAMPLE, TREES, DEPTH, BINS = 20_000, 40, 3, 32
-RATE, RIDGE = 0.3, 1.0
+RATE, RIDGE, SUFFIXES = 0.3, 1.0, 5
 #: Fixed values: (host and path, verdict).
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 _URL = re.compile(r"([^/?#]*)([^?#]*)(?:\?([^#]*))?(#.*)?", re.DOTALL)
@@ -59,8 +59,8 @@ def _byte_shares(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return count[:, 48:58].sum(axis=1), -(share * np.log2(np.where(share > 0, share, 1.0))).sum(axis=1)
 
 
-def _numbers(urls: list[str]) -> tuple[np.ndarray, list[tuple[str, str, str]]]:
-    """Numeric features, and the suffixes (host's last label, last two, path's extension)."""
+def _numbers(urls: list[str]) -> tuple[np.ndarray, list[tuple[str, ...]]]:
+    """Numeric features, and the suffixes (host's last label, last two, last three, path's extension, first step)."""
     out = np.zeros((len(urls), 9))
     suffixes = []
     for i, url in enumerate(urls):
@@ -68,7 +68,7 @@ def _numbers(urls: list[str]) -> tuple[np.ndarray, list[tuple[str, str, str]]]:
         labels = host.lower().split(".")
         out[i] = len(url), len(host), len(labels), sum(map(bool, path.split("/"))), 0, 0, sum(map(bool, (query or "").split("&"))), anchor is not None, len(path)
         last = path.rsplit("/", 1)[-1]
-        suffixes.append((labels[-1], ".".join(labels[-2:]), last.rpartition(".")[2] if "." in last else ""))
+        suffixes.append((labels[-1], ".".join(labels[-2:]), ".".join(labels[-3:]), last.rpartition(".")[2] if "." in last else "", path[1:].partition("/")[0]))
     for begin in range(0, len(urls), 4096):  # 256 counters an url
         digits, entropy = _byte_shares(urls[begin : begin + 4096])
         out[begin : begin + 4096, 4] = digits / np.maximum(1, out[begin : begin + 4096, 0])
@@ -86,7 +86,7 @@ class Boosted:
     def features(self, urls: list[str]) -> np.ndarray:
         numbers, suffixes = _numbers(urls)
         known = [[table.get(s, self.default) for s, table in zip(row, self.suffixes)] for row in suffixes]
-        return np.hstack([numbers, np.array(known, np.float64).reshape(len(urls), 3)])
+        return np.hstack([numbers, np.array(known, np.float64).reshape(len(urls), SUFFIXES)])
 
     def score(self, urls: list[str]) -> np.ndarray:
         """Probability of block."""
@@ -115,10 +115,10 @@ def train(urls: list[str], blocked: np.ndarray, weights: np.ndarray) -> Boosted:
     total = max(weights.sum(), 1.0)
     default = float((weights * blocked).sum() / total) if len(urls) else 0.0
     if not len(urls) or default in (0.0, 1.0):
-        return Boosted(6.0 * (default or -1.0), [], [{}, {}, {}], default)
+        return Boosted(6.0 * (default or -1.0), [], [{}] * SUFFIXES, default)
     _, suffixes = _numbers(urls)
     tables: list[dict[str, float]] = []
-    for j in range(3):
+    for j in range(SUFFIXES):
         sums: dict[str, list[float]] = {}
         for row, y, w in zip(suffixes, blocked, weights):
             s = sums.setdefault(row[j], [0.0, 0.0])
