@@ -8,6 +8,7 @@ Jaccard similarity of their hash sets (1 if both are empty).
 
 Pairs with the next document need no global sort of texts: quantiles of doc_id deal the rows into buckets,
 every bucket also gets a copy of the row that follows it, and neighbours meet inside the sorted buckets.
+A doc_id, or the lack of one, that holds a large share of the rows is dealt over buckets by the texts' hash.
 
 Edge cases: a null text counts as empty, and the empty text has an empty fingerprint; rows of equal doc_id
 follow one another by a hash of their text, null doc_ids come after all others; a single row is its own
@@ -34,6 +35,8 @@ _HASH_BITS = 40
 _LOW = np.uint64((1 << 24) - 1)
 #: Code points fingerprinted at a time; positions inside such a stretch take 24 bits.
 STRETCH = 1 << 22
+#: Rows of one doc_id from which it may be dealt over buckets; buckets of one doc_id at most.
+HEAVY, _DEAL = 1_000, 1 << 20
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -149,32 +152,45 @@ def with_next(docs: DataFrame) -> DataFrame:
     """Rows (_bucket, _copy, doc_id, text), partitioned by bucket and sorted so that the row after each one
     with ``_copy`` 0 is the next document, descending doc_id; after the last comes the first."""
     spark = docs.sparkSession
-    ids = docs.select("doc_id")
+    ids = docs.select("doc_id", F.xxhash64("text").alias("h"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / (4 * parts) for i in range(1, 4 * parts)], 100 * parts).alias("c")).first()["c"]
-    bounds = np.unique(np.array(cuts or [], np.int64))
-
-    @F.pandas_udf("int")
-    def bucket(x: pd.Series) -> pd.Series:
-        none = x.isna().to_numpy()
-        return pd.Series(np.where(none, len(bounds) + 1, len(bounds) - np.searchsorted(bounds, x.fillna(0).to_numpy().astype(np.int64), side="right")).astype(np.int32))
-
-    heads = {r.b: r.head for r in ids.groupBy(bucket("doc_id").alias("b")).agg(F.max("doc_id").alias("head")).collect()}  # as many as buckets
-    order = sorted(heads)
-    before = {b: order[i - 1] for i, b in enumerate(order)}
-    table_to = np.full(len(bounds) + 2, -1, np.int32)
-    table_head = np.zeros(len(bounds) + 2, np.int64)
-    for b, to in before.items():
-        table_to[b], table_head[b] = to, heads[b] or 0
-
-    @F.pandas_udf("bucket int, to int")
-    def place(x: pd.Series) -> pd.DataFrame:
-        none = x.isna().to_numpy()
-        ids = x.fillna(0).to_numpy().astype(np.int64)
-        b = np.where(none, len(bounds) + 1, len(bounds) - np.searchsorted(bounds, ids, side="right")).astype(np.int32)
-        return pd.DataFrame({"bucket": b, "to": np.where(none | (ids == table_head[b]), table_to[b], -1).astype(np.int32)})
-
-    rows = docs.select("doc_id", "text", place("doc_id").alias("_at"))
+    total, cuts = ids.agg(F.count("*"), F.percentile_approx("doc_id", [i / (4 * parts) for i in range(1, 4 * parts)], 100 * parts)).first()
+    # an id of more than a thousandth of the rows (fewer than 1,000 have so many) is a bucket of its own, dealt by hash
+    heavy = ids.groupBy("doc_id").count().where(F.col("count") > max(HEAVY, total // 1000)).collect()
+    named = [r.doc_id for r in heavy if r.doc_id is not None]
+    bounds = np.unique(np.array([*(cuts or []), *named, *(i + 1 for i in named)], np.int64))
+
+    def of(x: pd.Series) -> np.ndarray:
+        own = len(bounds) - np.searchsorted(bounds, x.fillna(0).to_numpy().astype(np.int64), side="right")
+        return np.where(x.isna().to_numpy(), len(bounds) + 1, own)
+
+    deal = np.ones(len(bounds) + 2, np.int64)
+    for r in heavy:
+        deal[of(pd.Series([r.doc_id], dtype="Int64"))[0]] = min(_DEAL - 1, -(-r["count"] * 4 * parts // total))
+
+    def coded(x: pd.Series, h: pd.Series) -> np.ndarray:
+        own = of(x)
+        nth = np.floor((h.to_numpy().astype(np.float64) / 2.0**64 + 0.5) * deal[own]).astype(np.int64)
+        return own * _DEAL + np.minimum(nth, deal[own] - 1)
+
+    @F.pandas_udf("long")
+    def bucket(x: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(coded(x, h))
+
+    heads = sorted(tuple(r) for r in ids.groupBy(bucket("doc_id", "h").alias("b")).agg(F.max("doc_id").alias("head"), F.min("h").alias("low")).collect())  # as many as buckets
+    codes = np.array([b for b, _, _ in heads], np.int64)
+    head, low = np.array([i or 0 for _, i, _ in heads], np.int64), np.array([h for *_, h in heads], np.int64)
+    before = np.roll(codes, 1)
+
+    @F.pandas_udf("bucket long, to long")
+    def place(x: pd.Series, h: pd.Series) -> pd.DataFrame:
+        code = coded(x, h)
+        k = np.searchsorted(codes, code)
+        by_hash = x.isna().to_numpy() | (deal[code // _DEAL] > 1)
+        first = np.where(by_hash, h.to_numpy() == low[k], x.fillna(0).to_numpy().astype(np.int64) == head[k])
+        return pd.DataFrame({"bucket": code, "to": np.where(first, before[k], -1)})
+
+    rows = docs.select("doc_id", "text", place("doc_id", F.xxhash64("text")).alias("_at"))
     own, copy = F.struct(F.col("_at.bucket").alias("b"), F.lit(0).alias("c")), F.struct(F.col("_at.to").alias("b"), F.lit(1).alias("c"))
     dealt = rows.select("doc_id", "text", F.explode(F.when(F.col("_at.to") >= 0, F.array(own, copy)).otherwise(F.array(own))).alias("_d")).select(F.col("_d.b").alias("_bucket"), F.col("_d.c").alias("_copy"), "doc_id", "text")
     return dealt.repartition(parts, "_bucket").sortWithinPartitions("_bucket", "_copy", F.desc_nulls_last("doc_id"), F.xxhash64("text"), "text")
