@@ -315,6 +315,56 @@ def test_selection_is_the_windows_minimum(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, winnow.select([long])))
 
 
+def brute_fingerprint(text):
+    """Position -> hash, gram by gram and window by window."""
+    wide = (1 << 64) - 1
+    grams = []
+    for i in range(max(len(text) - winnow.K + 1, min(len(text), 1))):
+        h = 0
+        for j in range(winnow.K):
+            h = (h * winnow._BASE + (ord(text[i + j]) if i + j < len(text) else 0) + 1) & wide
+        h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & wide
+        grams.append(((h ^ h >> 29) * winnow._BASE & wide) >> 24)
+    out = {}
+    for i in range(max(len(grams) - winnow.W + 1, min(len(grams), 1))):
+        window = grams[i : i + winnow.W]
+        at = i + max(j for j, h in enumerate(window) if h == min(window))
+        out[at] = grams[at]
+    return out
+
+
+def test_likenesses_are_those_of_plain_fingerprints(spark):
+    rnd = random.Random(11)
+    base = "".join(rnd.choice("abcdé 😀") for _ in range(400))
+    cases = ["", "a", "short", base, base[:300], base[100:], base + "!", base, "ab" * 60, "x" * 90, base[::-1], base[:150] + "ab" * 60]
+    rows = {r.doc_id: r for r in winnow.compare_next(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string").repartition(3)).collect()}
+
+    def like(a, b):
+        a, b = (set(brute_fingerprint(x).values()) for x in (a, b))
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for i, text in enumerate(cases):
+        after = cases[i - 1] if i else cases[-1]
+        third = len(text) // 3
+        edited = text[: len(text) - third] + after[:third]
+        assert (rows[i].near_edited, rows[i].near_next) == (pytest.approx(like(text, edited)), pytest.approx(like(text, after)))
+        assert rows[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+    found = {r.doc_id: dict(zip(r.positions, r.hashes)) for r in winnow.fingerprint(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}
+    assert found == {i: brute_fingerprint(t) for i, t in enumerate(cases)}
+
+
+@pytest.mark.parametrize("heavy", [1000, 3])
+def test_next_of_repeated_and_null_ids(spark, monkeypatch, heavy):
+    """Rows of one doc_id, and of none, follow one another by the hash of their text, dealt over buckets or not."""
+    monkeypatch.setattr(winnow, "HEAVY", heavy)
+    rows = [(5, f"five {i} " * 9) for i in range(40)] + [(None, f"none {i} " * 9) for i in range(50)] + [(i, f"own {i} " * 9) for i in range(30)] + [(9, "same " * 9)] * 7
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    order = sorted(((r.doc_id is None, -(r.doc_id or 0), r.h, r.text) for r in df.collect()))
+    texts_ = [t for *_, t in order]
+    wanted = sorted(hashlib.sha256((t[: len(t) - len(t) // 3] + after[: len(t) // 3]).encode()).hexdigest() for t, after in zip(texts_, texts_[1:] + texts_[:1]))
+    assert sorted(r.edited_sha256 for r in winnow.compare_next(df.drop("h").repartition(5)).collect()) == wanted
+
+
 def test_next_documents(spark, odd, none, some):
     rows = sorted(texts(some), reverse=True)
     got = {r.doc_id: r for r in winnow.compare_next(some).collect()}
@@ -481,7 +531,7 @@ def plain_features(model, url):
     raw = url.encode()
     labels = host.lower().split(".")
     last = path.split("/")[-1]
-    suffixes = [labels[-1], ".".join(labels[-2:]), last.split(".")[-1] if "." in last else ""]
+    suffixes = [labels[-1], ".".join(labels[-2:]), ".".join(labels[-3:]), last.split(".")[-1] if "." in last else "", path[1:].split("/")[0]]
     entropy = -sum(n / len(raw) * math.log2(n / len(raw)) for n in Counter(raw).values())
     digits = sum(c in b"0123456789" for c in raw)
     numbers = [len(url), len(host), len(labels), len([p for p in path.split("/") if p]), digits / max(1, len(url)), entropy, len([q for q in query.split("&") if q]), float("#" in tail), len(path)]
