@@ -264,7 +264,7 @@ def test_command_line(spark, tmp_path):
     assert {r["class"] for r in void.read_classes(some).collect()} == {C + "Star", C + "Note"}
     assert [void.read_service(some)[k] for k in ("version", "issued")] == ["7", "2025-01-31"] and spark.read.parquet(str(tmp_path / "terms")).count() > 10
     with pytest.raises(ValueError):
-        cli.run(spark, base[2:])
+        cli.run(spark, [*base, "--jdbc", "jdbc:x"])
     with pytest.raises(SystemExit):
         cli.run(spark, ["-V"])
 
@@ -282,6 +282,65 @@ def test_other_sources(spark, sky, tmp_path):
     assert bare(rdf_text.read(spark, str(tmp_path / "t.nq"))) == bare(sky)
 
 
+@pytest.fixture(scope="module")
+def server():
+    """A small endpoint over TRIG that knows the three kinds of questions, and fails the first time."""
+    import json
+    import re
+    import threading
+    import urllib.parse
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    rows, asked = rdf_text.parse(TRIG), []
+
+    def term(value, kind, datatype=None, language=None):
+        return {"type": {"iri": "uri", "bnode": "bnode", "literal": "literal"}[kind], "value": value} | ({"datatype": datatype} if datatype and datatype != STRING else {}) | ({"xml:lang": language} if language else {})
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            query = urllib.parse.parse_qs(self.rfile.read(int(self.headers["Content-Length"])).decode())["query"][0]
+            asked.append(query)
+            if len(asked) == 1:
+                return self.send_error(503)
+            graph = re.search(r"GRAPH <(.*?)>", query)
+            own = sorted((r for r in rows if graph and r[0] == graph[1]), key=repr)
+            if "DISTINCT" in query:
+                found = [{"g": term(g, "iri")} for g in sorted({r[0] for r in rows})]
+            elif "COUNT" in query:
+                found = [{"n": term(str(len(own)), "literal")}]
+            else:
+                limit, offset = map(int, re.search(r"LIMIT (\d+) OFFSET (\d+)", query).groups())
+                found = [{"s": term(*r[1:3]), "p": term(r[3], "iri"), "o": term(*r[4:8])} for r in own[offset : offset + limit]]
+            body = json.dumps({"results": {"bindings": found}}).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    web = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{web.server_port}/sparql", asked
+    web.shutdown()
+
+
+def test_endpoint(spark, sky, server, tmp_path):
+    from quadscope import cli
+    from quadscope.sources import endpoint
+
+    url, asked = server
+    bare = lambda df: sorted((r.g, r.p, r.o_kind, r.o_dt or "", r.o_lang or "", r.o if r.o_kind != "bnode" else "") for r in df.collect())
+    found = endpoint.read(spark, url, page=5, wait=0)
+    assert bare(found) == bare(sky) and sum("OFFSET" in q for q in set(asked)) == 4 + 2
+    assert sorted(r.triples for r in counts.triples_per_graph(endpoint.read(spark, url, [SKY], wait=0)).collect()) == [16]
+    rows = cli.run(spark, ["--void-file", str(tmp_path / "void.nt"), "-i", "http://x.org/void", "--repository", url, "--max-concurrency", "2", "--optimize-for", "sparql"])
+    assert {(r.g, r.triples) for r in void.read_graphs(rows).collect()} == {(SKY, 16), (GROUND, 7)}
+    with pytest.raises(Exception, match="refused|URLError|Connection"):
+        endpoint.read(spark, "http://127.0.0.1:9/none", tries=1, wait=0).count()
+
+
 def test_escapes_of_all_planes(spark, tmp_path):
     (tmp_path / "a.nt").write_text('<u:\\u00e9> <u:p> "\\U0001F600 \\u00E9 \\uD83D\\uDE00 \\\\U0001F600 \\t|\\\'|\\b\\\\" .\n<u:a><u:p>"raw \x1f sign and \U0001F600" .\n_:b<u:p>_:c.d .\n')
     rows = {(r.s_kind, r.o) for r in rdf_text.read(spark, str(tmp_path / "a.nt"), "u:g").where("o_kind = 'literal'").collect()}
