@@ -50,8 +50,8 @@ SKETCH, SKETCH_ROW = 1 << 20, 1 << 12
 CHUNK, CHUNK_TOKENS = 512, 2_000_000
 #: A shingle that the sketch finds in one of so many rows is dealt over SALTS tasks.
 HOT_SHARE, HOT_LEAST, SALTS = 200, 1000, 64
-#: Such shingles of which a broadcast is made; more are joined without.
-HOT_FEW = 100_000
+#: Such shingles, and memberships in blocks or rows to be dropped, of which a broadcast is made; more are joined by a shuffle.
+HOT_FEW, ROWS_FEW = 100_000, 500_000
 #: Bits of the broadcast filter of classes that take part in a block (false ones only cost time).
 FILTER_BITS, FILTER_PARTS = 1 << 23, 16
 #: Bits of a set's bitmap at least and at most (twice the tokens of the largest set between), bytes of a tree's lowest level.
@@ -561,6 +561,10 @@ def _link_rows(pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([max(p) for p in part], pa.int64()), pa.array([min(p) for p in part], pa.int64())], ["u", "v"])
 
 
+def _few(rows: DataFrame) -> bool:
+    return rows.limit(ROWS_FEW + 1).count() <= ROWS_FEW
+
+
 def _within_chunks(blocks: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches):
         def pairs():
@@ -574,7 +578,10 @@ def _within_chunks(blocks: DataFrame, texts: DataFrame) -> DataFrame:
 
         yield from _link_rows(pairs())
 
-    rows = blocks.select("lead", "chunk", "ref").join(texts, "ref").select("lead", "chunk", "ref", "text")
+    # with few memberships the texts are shuffled once, to their chunks, not to their classes first
+    members = blocks.select("lead", "chunk", "ref")
+    members = F.broadcast(members) if _few(members) else members
+    rows = texts.join(members, "ref").select("lead", "chunk", "ref", "text")
     return rows.repartition("lead", "chunk").sortWithinPartitions("lead", "chunk").mapInArrow(run, "u long, v long")
 
 
@@ -638,8 +645,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of every row (doc_id, n, ref); and of every class (ref, component, first): the least doc_id of its
-    component, and the component's first row as (nameless, doc_id, tag, copies)."""
+    """Of every row (doc_id, tag, n, ref); and of every class (ref, component, first): the least doc_id of
+    its component, and the component's first row as (nameless, doc_id, tag, copies)."""
     docs = docs.select("doc_id", "text")
     for seed in range(64):
         scanned = _common.written(_scan(docs, seed), "scan")
