@@ -674,13 +674,13 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = _common.hot_join(rooted.select("ref", "root"), firsts, "root", n).select("ref", F.col("_f.doc_id").alias("component"), F.col("_f").alias("first"))
     placed = _common.written(placed, "placed")
     _common.discard(blocks, links, classes, rooted)
-    return rows.select("doc_id", "n", "ref"), placed
+    return rows.select("doc_id", "tag", "n", "ref"), placed
 
 
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     rows, placed = _placed(docs)
-    found = _common.hot_join(rows, placed.select("ref", "component"), "ref", rows.count())
+    found = _common.hot_join(rows.drop("tag"), placed.select("ref", "component"), "ref", rows.count())
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("ref").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
@@ -688,15 +688,24 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component: that of its least doc_id (a null one comes last; of several texts under
     that doc_id the least hash decides; of rows equal in doc_id and text any one stays).  Rows without words
     are linked with nothing and all stay."""
-    _, placed = _placed(docs)
-    keep = _common.written(placed.select("first").distinct().select("first.*"), "keep")
-    tag, copies = _common.free_name(docs, "_tag"), F.col("copies")
+    rows, placed = _placed(docs)
+    kept = placed.select("first").distinct().select("first.*").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_of"), "copies")
+    keys = rows.where("ref is not null").select("doc_id", "tag").distinct()
+    once = F.col("copies") == 1
+    # texts that go, or of which one copy stays
+    other = keys.join(kept.where(once), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_of")), "left_anti")
+    other = _common.written(other.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_of")), "other")
+    more = _common.written(kept.where(~once), "more")
+    tag = _common.free_name(docs, "_tag")
     tagged = docs.withColumn(tag, F.xxhash64("text"))
-    some = keep.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_of"), "copies")
-    same = lambda df: (tagged["doc_id"].eqNullSafe(df["_id"])) & (tagged[tag] == df["_of"])
-    once, more = some.where(copies == 1), some.where(copies > 1)
-    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    out = docs.where(~worded).unionByName(tagged.where(worded).join(once, same(once), "left_semi").select(docs.columns))
+    worded = F.coalesce(tagged["text"], F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    same = lambda df: tagged["doc_id"].eqNullSafe(df["_id"]) & (tagged[tag] == df["_of"])
+    if _few(other):  # no text is shuffled
+        out = tagged.join(F.broadcast(other), same(other) & worded, "left_anti").select(docs.columns)
+    else:
+        alone = kept.where(once)
+        out = tagged.where(~worded).select(docs.columns).unionByName(tagged.where(worded).join(alone, same(alone), "left_semi").select(docs.columns))
     if more.isEmpty():
         return out
-    return out.unionByName(tagged.where(worded).join(more, same(more), "left_semi").dropDuplicates(["doc_id", tag]).select(docs.columns))
+    few = F.broadcast(more) if _few(more) else more
+    return out.unionByName(tagged.where(worded).join(few, same(more), "left_semi").dropDuplicates(["doc_id", tag]).select(docs.columns))

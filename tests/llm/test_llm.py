@@ -244,8 +244,10 @@ def test_components_of_odd_rows(odd, none):
     assert jaccard.join(none).count() == 0 and jaccard.one_of_each(none).count() == 0
 
 
-def test_one_row_of_each_component_stays(spark):
-    """Rows of one doc_id are told apart by their texts, and null ids come last."""
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_one_row_of_each_component_stays(spark, monkeypatch, few):
+    """Rows of one doc_id are told apart by their texts, and null ids come last; with broadcasts and without."""
+    monkeypatch.setattr(jaccard, "ROWS_FEW", few)
     x, y, z, w = "one two three four five six", "not a copy of anything at all here", "and this stands alone as well today", "a fourth text of its own words here"
     rows = [(3, x), (3, y), (None, x), (None, z), (9, w), (9, w), (None, z), (None, None), (4, " "), (4, " "), (3, x + " seven eight nine ten eleven")]
     df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _tag int").repartition(3)
