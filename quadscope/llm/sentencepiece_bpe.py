@@ -35,7 +35,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _FAR = np.iinfo(np.int32).max
 #: Encoded words that a Python worker gathers before it lets go of those it has not met since.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
@@ -385,10 +385,13 @@ def _apply(docs: DataFrame, model_path: str, key: str, columns: str, shape) -> D
         data = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # millions of small strings and tuples without cycles
         model = load(data.value)
-        for batch in _common.slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), *shape(model, _texts(batch))], names)
+        gc.disable()  # millions of small strings and tuples without cycles
+        try:
+            for batch in _common.slices(batches, 1_000_000):
+                yield pa.RecordBatch.from_arrays([batch.column(0), *shape(model, _texts(batch))], names)
+        finally:  # the worker goes on to other tasks
+            gc.enable()
 
     picked = docs.select(key, "text")
     names = [key, *(c.split()[0] for c in columns.split(", "))]

@@ -19,6 +19,7 @@ documents of their own; an empty table gives an empty result; extra columns are
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,18 +45,19 @@ def write_flat(docs: DataFrame, model_path: str, path: str, separator: int = SEP
         data = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gc
-
-        gc.disable()  # millions of small strings and tuples without cycles
         model = sentencepiece_bpe.load(data.value)
         if model.size > 1 << 16 or separator in model.ids.values():
             raise ValueError("the vocabulary does not fit")
         ending, nth = np.array([separator], "<u2").tobytes(), 0
-        for batch in _common.slices(batches, 1_000_000):
-            found = [np.fromstring(ids, np.uint16, sep=",").tobytes() if ids else b"" for _, ids, _ in model.round_trip([t or "" for t in batch.column(1).to_pylist()])]
-            values = [ending.join(found), b"%d %s" % (nth, _packed(batch.column(0)))]
-            yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([nth, nth], pa.int64()), pa.array(values, pa.binary())], ["kind", "nth", "value"])
-            nth += batch.num_rows
+        gc.disable()  # millions of small strings and tuples without cycles
+        try:
+            for batch in _common.slices(batches, 1_000_000):
+                found = [np.fromstring(ids, np.uint16, sep=",").tobytes() if ids else b"" for _, ids, _ in model.round_trip([t or "" for t in batch.column(1).to_pylist()])]
+                values = [ending.join(found), b"%d %s" % (nth, _packed(batch.column(0)))]
+                yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([nth, nth], pa.int64()), pa.array(values, pa.binary())], ["kind", "nth", "value"])
+                nth += batch.num_rows
+        finally:  # the worker goes on to other tasks
+            gc.enable()
 
     rows = docs.select("doc_id", "text").mapInArrow(run, "kind int, nth long, value binary")
     rows = rows.sortWithinPartitions("kind", "nth").select("kind", F.col("value").cast("string").alias("value"))
