@@ -87,7 +87,6 @@ _over("classes", schema.classes, "SELECT g, class, count(*) AS entities FROM typ
 _over("distinct_classes", schema.distinct_classes, "SELECT DISTINCT g, class FROM typed")
 _over("class_member_count", lambda q: schema.class_member_count(q, CLASS + "Customer"), f"SELECT g, class, count(*) AS entities FROM typed WHERE class = '{CLASS}Customer' GROUP BY g, class")
 _over("classes_excluding", lambda q: schema.classes(q, FILTER), f"SELECT g, class, count(*) AS entities FROM typed WHERE NOT starts_with(class, '{CLASS}e') AND class <> '{NAMED_INDIVIDUAL}' GROUP BY g, class")
-_over("mapped_quads", lambda q: q, "SELECT * FROM quads")
 _over("class_property", lambda q: schema.class_property(schema.class_triples(q)), "SELECT g, class, p, triples FROM class_property", _TABLES_SQL)
 _over("class_property_stats", lambda q: schema.class_property_stats(schema.class_triples(q)), "SELECT * FROM class_property", _TABLES_SQL)
 _over("property_classes", links.property_classes, "SELECT * FROM property_classes", _TABLES_SQL)
